@@ -94,7 +94,7 @@ class ArchiveWriter:
         self.size = 8 + len(body)
         for record in self.waiting:
             self._frame(record)
-        self.waiting = []
+        self.waiting, self.waiting_bytes = [], 0
 
     def _frame(self, record: bytes) -> None:
         frame = self.codec.compress(record)
@@ -216,7 +216,7 @@ def write_archives(planned: DataFrame, address: str, archive_bytes: int = ARCHIV
                 if writer is None:
                     writer = ArchiveWriter(f"{stem}-{len(done):05d}.warc.zst")
                 writer.add(record_bytes(row_id.as_py(), url.as_py(), html, digest.as_py(), refers_to.as_py(), len(html)))
-                if writer.size >= archive_bytes:
+                if writer.size + writer.waiting_bytes >= archive_bytes:
                     done.append(writer.close())
                     writer = None
         if writer is not None:
