@@ -14,12 +14,9 @@ from weftgraph.llm.hostrules import host_rules
 from weftgraph.llm.packing import pack
 from weftgraph.llm.queries import tokenizer
 from weftgraph.llm.shared import write_out
-from weftgraph.llm.simhash import near_dedup
+from weftgraph.llm.similar import similar_dedup
 from weftgraph.llm.suffix import suffix_dedup
 
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE = 5
-
 
 def _staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id, null among them, is in ``ids`` (a column ``stays``)."""
@@ -37,8 +34,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = near_dedup(docs, shingle=SHINGLE).filter("doc_id <=> component_id")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    found = similar_dedup(docs).filter("doc_id <=> component_id")
     return _staying(docs, found.select(F.col("doc_id").alias("stays")))
 
 
