@@ -1,4 +1,11 @@
 """Operators for training-data pipelines: dedup, filtering, archives, tokens, packing.
 
-Nothing else in the library imports this subpackage.
+Nothing else in the library imports this subpackage. Its functions are sent to Python workers by
+value, so executors need no copy of it.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -11,7 +11,6 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
 
-@lru_cache(maxsize=4)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path.rpartition("/")[2], pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
