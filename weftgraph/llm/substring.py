@@ -5,14 +5,16 @@ in a 20-word window the smallest is its anchor (all of them, if several are equa
 windows have the same anchors at the same places. About one word in seven is an anchor. The index
 holds an entry (hash, doc_id, place) for each.
 
-Runs. Documents come in batches by ascending doc_id. The entries of a batch are written once, sorted
-by hash, as an immutable run; the batch is merge-joined with the earlier runs and itself, and the
-anchors found twice are its candidates. When ``fan_in`` runs have gathered, they are compacted
-into one sorted run.
-
-Verification. The texts that hold candidates (new or historical) are read again, and each window
-around a candidate gives a 128-bit digest of its twenty words with its place. The first place of
-each digest is kept, so a window is removed only if all of its words were seen before.
+Runs. Documents come in batches by ascending doc_id. The entries of a batch are written once, in
+files sorted by hash, as an immutable run; the batch is merge-joined with the earlier runs and
+itself, and the anchors found twice are its candidates. When ``fan_in`` runs have gathered, they
+are compacted into one.
+
+Verification. The texts that hold candidates (new or historical) are read again. The windows that
+share a leftmost anchor are a context, identified by a 128-bit digest of all its words. Of equal
+contexts the first stays, the others go whole. Where an anchor has contexts that differ, the first
+of each is taken apart into windows, each with a 128-bit digest of its twenty words, and the first
+place of each digest is kept. So a window is removed only if all of its words were seen before.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, small_enough, write_out
+from .shared import BROADCAST_ROWS, forget, fresh_path, small_enough, write_out
 
 WINDOW = 20
 GRAM = 8
@@ -79,6 +81,19 @@ def anchors_of(grams: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(sliding(padded, width, np.maximum) == grams)
 
 
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost smallest of each ``width`` consecutive values."""
+    at = np.arange(len(values), dtype=np.int64)
+
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[a] <= values[b], a, b)
+
+    size = 1
+    while 2 * size <= width:
+        at, size = better(at[:-size], at[size:]), 2 * size
+    return better(at[: len(at) - (width - size)], at[width - size :]) if width > size else at
+
+
 def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w, seed) for w in words), dtype=np.uint64, count=len(words))
@@ -142,15 +157,15 @@ class WindowIndex:
     def add(self, entries: DataFrame) -> DataFrame:
         """Add a batch; returns the entries, old and new, whose hash is in the batch and occurs twice or more."""
         old = list(self.runs)
-        self.runs.append(self._write(entries.repartition("hash")))
+        self.runs.append(self._write(entries))
         new = self.read(self.runs[-1:])
         counts = new.groupBy("hash").agg(F.count("*").alias("fresh"))
         if not old:
-            again = counts.filter("fresh > 1").select("hash")
+            again = write_out(counts.filter("fresh > 1").select("hash"), "window-again")  # written first, so that AQE may split the join by skew
             return write_out(new.join(again, "hash"), "window-candidates")
         history = self.read(old)
         known = history.select("hash").distinct().withColumn("known", F.lit(True))
-        again = counts.join(known, "hash", "left").filter("fresh > 1 or known").select("hash")
+        again = write_out(counts.join(known, "hash", "left").filter("fresh > 1 or known").select("hash"), "window-again")
         return write_out(history.union(new).join(again, "hash"), "window-candidates")
 
     def compact(self) -> None:
@@ -159,74 +174,137 @@ class WindowIndex:
             self.runs = [self._write(self.read(self.runs).repartition("hash"))]
 
 
-def candidate_windows(texts: DataFrame, candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """high, low, doc_id, place for each window that holds a candidate anchor."""
-    per_doc = candidates.groupBy("doc_id").agg(F.collect_set("place").alias("places"))  # no more than a text has words
-    width = window - gram + 1
+def _texts_with(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc_id, text, own) of the documents in ``lists`` (doc_id, own), a written table. Other texts aren't shuffled if the ids are few."""
+    return texts.join(small_enough(lists.select("doc_id")), "doc_id", "left_semi").join(lists, "doc_id").select("doc_id", "text", "own")
+
+
+def with_lists(rows: DataFrame, lists: DataFrame, own: str = "own") -> DataFrame:
+    """``rows`` with the list of their doc_id, or null. If the ids in ``lists``, a written table, are few, only their rows are shuffled."""
+    none = F.lit(None).cast(lists.schema[own].dataType).alias(own)
+    if lists.count() > BROADCAST_ROWS:
+        return rows.join(lists, "doc_id", "left")
+    ids = F.broadcast(lists.select("doc_id"))
+    return rows.join(ids, "doc_id", "left_semi").join(lists, "doc_id").unionByName(rows.join(ids, "doc_id", "left_anti").select("*", none))
+
+
+_CONTEXT = "hash long, high long, low long, doc_id long, place int, n int"
+
+
+def contexts(texts: DataFrame, candidates: DataFrame, window: int, gram: int) -> DataFrame:
+    """A row for each run of windows whose leftmost anchor is a candidate: its hash, digest, first place and length."""
+    per_doc = write_out(candidates.groupBy("doc_id").agg(F.collect_set("place").alias("own")), "window-anchors")  # no more than a text has words
+    width, (one, two) = window - gram + 1, (np.uint64(b) for b in _BASES)
+    names = [x.split()[0] for x in _CONTEXT.split(", ")]
+
+    def batch(parts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, held = [], 0
-            for doc, text, places in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("places"), strict=True):
+            for doc, text, own in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("own"), strict=True):
                 words = words_in(text.as_py())
-                n = len(words) - window + 1
-                near = np.zeros(n + 1, dtype=np.int32)
-                at = places.values.to_numpy(zero_copy_only=False)
-                np.add.at(near, np.clip(at - width + 1, 0, n), 1)
-                np.add.at(near, np.clip(at + 1, 0, n), -1)
-                at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                high, low = window_digests(words, window)
-                parts.append((high[at], low[at], np.full(len(at), doc, dtype=np.int64), at.astype(np.int32)))
+                if len(words) < window:
+                    continue
+                hashes = word_hashes(words, 0)
+                grams = rolling(hashes, gram, _BASES[0])
+                at = leftmost_least(grams, width)
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                last = np.concatenate([first[1:], [len(at)]]) - 1
+                take = np.isin(at[first], own.values.to_numpy(zero_copy_only=False))
+                first, last = first[take], last[take]
+                high, low = rolling(hashes, window, _BASES[0]), rolling(word_hashes(words, 1), window, _BASES[1])
+                n = (last - first + 1).astype(np.uint64)
+                # the first and the last window hold all words of the run between them
+                digests = (mix(x[first] * one + x[last] * two + n).view(np.int64) for x in (high, low))
+                parts.append((grams[at[first]].view(np.int64), *digests, np.full(len(first), doc, dtype=np.int64), first.astype(np.int32), n.astype(np.int32)))
+                held += len(first)
+                if held > _CHUNK_WORDS:
+                    yield batch(parts)
+                    parts, held = [], 0
+            if held:
+                yield batch(parts)
+
+    return _texts_with(texts, per_doc).mapInArrow(found, _CONTEXT)
+
+
+def windows_in(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
+    """high, low, doc_id, place for each window of the runs in ``firsts`` (doc_id, place, n)."""
+    per_doc = write_out(firsts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("own")), "window-runs")
+
+    def batch(parts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["high", "low", "doc_id", "place"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, held = [], 0
+            for doc, text, own in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("own"), strict=True):
+                high, low = window_digests(words_in(text.as_py()), window)
+                place, n = (own.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                at = np.unique(np.repeat(place, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                at = at[at < len(high)]
+                parts.append((high[at].view(np.int64), low[at].view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32)))
                 held += len(at)
                 if held > _CHUNK_WORDS:
-                    yield _windows(parts)
+                    yield batch(parts)
                     parts, held = [], 0
             if held:
-                yield _windows(parts)
+                yield batch(parts)
 
-    ids = write_out(candidates.select("doc_id").distinct(), "window-docs")
-    joined = texts.join(small_enough(ids), "doc_id", "left_semi").join(per_doc, "doc_id").select("doc_id", "text", "places")
-    return joined.mapInArrow(found, "high long, low long, doc_id long, place int")
+    return _texts_with(texts, per_doc).mapInArrow(found, "high long, low long, doc_id long, place int")
 
 
-def _windows(parts: list) -> pa.RecordBatch:
-    high, low, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(doc), pa.array(place)], ["high", "low", "doc_id", "place"])
+_PLACE = ("doc_id", "place")
+
+
+def later_places(texts: DataFrame, candidates: DataFrame, low: int, window: int, gram: int) -> DataFrame:
+    """doc_id, own: runs (place, n) of windows, in documents from ``low`` on, whose words also start earlier."""
+    held = write_out(contexts(texts, candidates, window, gram), "window-contexts")
+    forget(candidates)
+    kinds = write_out(held.groupBy("hash", "high", "low").agg(F.min(F.struct(*_PLACE, "n")).alias("first"), F.count("*").alias("times")), "window-kinds")
+    again = kinds.filter("times > 1").select("hash", "high", "low", "first")
+    whole = held.filter(F.col("doc_id") >= low).join(again, ["hash", "high", "low"]).filter(F.struct(*_PLACE) != F.struct("first.doc_id", "first.place"))
+    whole = write_out(whole.select(*_PLACE, "n"), "window-whole")
+    forget(held)
+
+    differing = kinds.groupBy("hash").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("hash")
+    windows = write_out(windows_in(texts, kinds.join(differing, "hash").select("first.*"), window), "windows")
+    first = windows.groupBy("high", "low").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    single = windows.filter(F.col("doc_id") >= low).join(first, ["high", "low"]).filter(F.struct(*_PLACE) != F.col("first"))
+    runs = whole.unionByName(single.select(*_PLACE, F.lit(1).alias("n")))
+    out = write_out(runs.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("own")), "window-later")
+    forget(kinds, whole, windows)
+    return out
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: WindowIndex | None = None) -> DataFrame:
-    """doc_id, starts: the windows of each text whose words also start earlier.
+    """doc_id, own: runs (place, n) of the windows of each text whose words also start earlier; one row for each document.
 
-    texts: (doc_id, text), ids unique and not null. They go into the index in ``batches`` ranges
-    of doc_id.
+    texts: (doc_id, text) without null ids. They go into the index in ``batches`` ranges of doc_id.
     """
     index = index or WindowIndex(texts.sparkSession)
     ends = texts.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if ends.a is None:
-        return texts.sparkSession.createDataFrame([], "doc_id long, starts array<int>")
+        return texts.sparkSession.createDataFrame([], "doc_id long, own array<struct<place:int,n:int>>")
     bounds = [ends.a + (ends.b - ends.a + 1) * i // batches for i in range(batches + 1)]
-    found = []
+    out = None
     for low, high in zip(bounds, bounds[1:], strict=False):
         part = texts.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high))
         candidates = index.add(anchor_entries(part, window, gram))
-        # texts of the batch and the older texts that they meet; windows of the latter are removed by their own batch
-        windows = write_out(candidate_windows(texts.filter(F.col("doc_id") < high), candidates, window, gram), "windows")
-        first = windows.groupBy("high", "low").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        later = windows.filter(F.col("doc_id") >= low).join(first, ["high", "low"]).filter(F.struct("doc_id", "place") != F.col("first"))
-        found.append(write_out(later.groupBy("doc_id").agg(F.collect_list("place").alias("starts")), "window-starts"))
+        # texts of the batch and the older ones that they meet; what goes from the latter was settled by their own batch
+        found = later_places(texts.filter(F.col("doc_id") < high), candidates, low, window, gram)
         index.compact()
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+        out = found if out is None else out.union(found)
+    return write_out(out, "window-later")
 
 
-def without(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
-    """The words that no window covers."""
+def without(words: list[bytes], place: np.ndarray, n: np.ndarray, window: int) -> list[bytes]:
+    """The words that no window of the runs covers."""
     edge = np.zeros(len(words) + 1, dtype=np.int32)
-    starts = starts[starts <= len(words) - window]
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    fits = place + n + window - 1 <= len(words)
+    np.add.at(edge, place[fits], 1)
+    np.add.at(edge, (place + n + window - 1)[fits], -1)
     covered = np.cumsum(edge[:-1]) > 0
     return [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
 
@@ -244,19 +322,19 @@ def substring_dedup(
     gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    starts = repeated_windows(rows.filter("doc_id is not null"), window, gram, batches, index)
+    found = repeated_windows(rows.filter("doc_id is not null"), window, gram, batches, index)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, at in zip(b.column("text"), b.column("starts"), strict=True):
+            for text, at in zip(b.column("text"), b.column("own"), strict=True):
                 words = words_in(text.as_py())
-                left = words if not at.is_valid else without(words, at.values.to_numpy(zero_copy_only=False), window)
+                left = without(words, *(at.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)), window) if at.is_valid else words
                 body = b" ".join(left)
                 out.append((len(words), len(words) - len(left), hashlib.sha256(body).hexdigest()) + ((body.decode(),) if with_text else ()))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*out, strict=True)) or [()] * (3 + with_text)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], [x.split()[0] for x in schema.split(", ")])
 
-    return rows.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(kept, schema)
+    return with_lists(rows, found).mapInArrow(kept, schema)
