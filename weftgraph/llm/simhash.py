@@ -143,7 +143,7 @@ def links(classes: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints[row])], ["key", "fp"])
 
     keys = write_out(classes.select("fp").mapInArrow(keyed, "key long, fp long"), "simhash-keys")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = write_out(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
     shared = write_out(keys.join(sizes, "key"), "simhash-shared")
 
     few = shared.filter(F.col("n") <= pair_limit).groupBy("key").agg(F.collect_list("fp").alias("held"))  # at most pair_limit each

@@ -7,9 +7,11 @@ them for each segment, so that two errors are always forgiven and more of them o
 exact bits that follow. Only one of the segments has to be hit. The exact part widens with the
 logarithm of the corpus, which keeps the number of partners by chance the same for each document.
 
-Candidates are verified by the number of differing bits. A bucket is compared in blocks, whatever
-its size: its members are dealt to blocks, each pair of blocks is one group of bounded size, and a
-group gives at most one link for each member, which is enough for its components.
+Candidates are verified by the number of differing bits. A bucket of up to ``block`` members is
+compared as one group, which gives at most one link for each member, enough for its components.
+The members of a larger one are first held against one of them. Mostly that joins nearly all into
+one component; those outside of it are then compared with all members, block by block. So a group
+of near copies costs rows in proportion to its size, and still no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import write_out
+from .shared import forget, write_out
 from .simhash import fingerprint, golay_index, shingle_hashes
 from .substring import mix
 
@@ -99,6 +101,88 @@ def group_links(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[
     return out
 
 
+def cross_links(nodes: np.ndarray, labels: np.ndarray, prints: np.ndarray, odd: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """For each odd member a link to each component that it is near to."""
+    out = []
+    for k in np.flatnonzero(odd):
+        hit = np.flatnonzero((labels != labels[k]) & _near(prints, prints[k], most))
+        first = np.unique(labels[hit], return_index=True)[1]
+        out += [(int(nodes[k]), int(nodes[h])) for h in hit[first]]
+    return out
+
+
+def _grouped(held: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.StructArray, np.ndarray]:
+    """Offsets, nodes, all members and their fingerprints of a column of member lists."""
+    ends, flat = held.offsets.to_numpy(), held.values
+    prints = np.stack([flat.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _PLACES], axis=1)
+    return ends, flat.field("node").to_numpy(zero_copy_only=False), flat, prints
+
+
+_LINK = "a long, b long"
+
+
+def _ordered(df: DataFrame) -> DataFrame:
+    return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _batch(parts: list[np.ndarray], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    two = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([parts[i], two[:, i]])) for i in (0, 1)], ["a", "b"])
+
+
+def links_of_small(shared: DataFrame, most: int) -> DataFrame:
+    """Links within buckets that are one group each."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, nodes, _, prints = _grouped(b.column("held"))
+            sizes, pairs = np.diff(ends), []
+            two = ends[:-1][sizes == 2]
+            two = two[_near(prints[two], prints[two + 1], most)]
+            for a, z in zip(ends[:-1][sizes > 2].tolist(), ends[1:][sizes > 2].tolist(), strict=True):
+                pairs += group_links(nodes[a:z], prints[a:z], most)
+            yield _batch([nodes[two], nodes[two + 1]], pairs)
+
+    groups = shared.groupBy("key").agg(F.collect_list(F.struct("node", *_PLACES)).alias("held")).filter(F.size("held") > 1)
+    return groups.select("held").mapInArrow(linked, _LINK)
+
+
+def links_to_leaders(large: DataFrame, most: int) -> DataFrame:
+    """Each member of a large bucket with one of them, drawn by hash, if they are near."""
+    leaders = large.groupBy("key").agg(F.min_by(F.struct("node", *_PLACES), F.xxhash64("node", "key")).alias("l"))
+    leaders = write_out(leaders.select("key", F.col("l.node").alias("lead"), *(F.col(f"l.{c}").alias(f"l{c}") for c in _PLACES)), "similar-leaders")
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{c}"))) for c in _PLACES[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
+    return large.join(leaders, "key").filter((F.col("node") != F.col("lead")) & (bits <= most)).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
+
+def links_of_odd(large: DataFrame, roots: DataFrame, most: int, block: int) -> DataFrame:
+    """Links of the members outside of their bucket's largest component with all others of the bucket."""
+    labelled = write_out(large.join(roots, "node", "left").select("key", "n", "node", *_PLACES, F.coalesce("root", "node").alias("label")), "similar-labelled")
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("held"))
+    top = counts.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("top"), F.max("held").alias("most"))
+    marked = labelled.join(write_out(top, "similar-top"), "key").filter(F.col("most") < F.col("n"))
+    odd = F.col("label") != F.col("top")
+    blocks, odd_blocks = F.ceil(F.col("n") / block), F.ceil((F.col("n") - F.col("most")) / block)
+    own = lambda count: F.pmod(F.xxhash64("node", "key"), count)
+    member = F.struct("node", "label", *_PLACES, odd.alias("odd"))
+    every = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    # group (i, j): odd members of part i, all members of part j
+    first = marked.filter(odd).select("key", own(odd_blocks).alias("i"), F.explode(every(blocks)).alias("j"), member.alias("m"), F.lit(True).alias("asks"))
+    second = marked.select("key", F.explode(every(odd_blocks)).alias("i"), own(blocks).alias("j"), member.alias("m"), F.lit(False).alias("asks"))
+    groups = first.unionByName(second).groupBy("key", "i", "j").agg(F.collect_list(F.struct("m.node", "m.label", *(f"m.{c}" for c in _PLACES), "asks")).alias("held"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, nodes, flat, prints = _grouped(b.column("held"))
+            labels, asks = flat.field("label").to_numpy(zero_copy_only=False), flat.field("asks").to_numpy(zero_copy_only=False)
+            none, pairs = np.empty(0, dtype=np.int64), []
+            for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                pairs += cross_links(nodes[a:z], labels[a:z], prints[a:z], asks[a:z], most)
+            yield _batch([none, none], pairs)
+
+    return groups.select("held").mapInArrow(linked, _LINK)
+
+
 def links(classes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """a, b: links between classes, enough of them for every component. classes: (node, f0…f3), written out."""
     most = most_bits(similarity)
@@ -113,32 +197,14 @@ def links(classes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[i : i + 2048][row])], ["key", "node"])
 
     keys = write_out(classes.mapInArrow(keyed, "key long, node long"), "similar-keys")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keys.join(sizes, "key").join(classes, "node")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
-    dealt = shared.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *_PLACES)
-    groups = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", *_PLACES)).alias("held")).filter(F.size("held") > 1).select("held")  # about 2 * block members at most
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = b.column("held")
-            ends = held.offsets.to_numpy()
-            flat = held.values
-            nodes = flat.field("node").to_numpy(zero_copy_only=False)
-            prints = np.stack([flat.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _PLACES], axis=1)
-            sizes = np.diff(ends)
-            two = ends[:-1][sizes == 2]
-            two = two[_near(prints[two], prints[two + 1], most)]
-            out_a, out_b = [nodes[two]], [nodes[two + 1]]
-            for a, z in zip(ends[:-1][sizes > 2].tolist(), ends[1:][sizes > 2].tolist(), strict=True):
-                if found := group_links(nodes[a:z], prints[a:z], most):
-                    out_a.append(np.array([x for x, _ in found], dtype=np.int64))
-                    out_b.append(np.array([y for _, y in found], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-    return groups.mapInArrow(linked, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = write_out(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "similar-sizes")
+    shared = write_out(keys.join(sizes, "key").join(classes, "node").select("key", "n", "node", *_PLACES), "similar-shared")
+    forget(keys, sizes)
+    large = shared.filter(F.col("n") > block)
+    found = links_of_small(shared.filter(F.col("n") <= block), most).unionByName(links_to_leaders(large, most))
+    found = write_out(_ordered(found), "similar-links")
+    odd = links_of_odd(large, components(found), most, block)
+    return _ordered(found.unionByName(odd))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
