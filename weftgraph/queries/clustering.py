@@ -9,7 +9,7 @@ from weftgraph.functions import vec
 from weftgraph.operators import cluster
 from weftgraph.operators import message as mp
 from weftgraph.queries.base import G1, G1_EDGES, register
-from weftgraph.queries.graphs import on_graph
+from weftgraph.queries.graphs import on_graph, plain_graph
 from weftgraph.sources.graph import Graph
 
 
@@ -54,7 +54,7 @@ def relabel(g: Graph) -> DataFrame:
 register("rabbit_communities", on_graph(lambda g: rabbit(g).select("id", "community")))
 register("rabbit_perm", on_graph(lambda g: rabbit(g).select("id", "place")))
 register(
-    "community_roots", on_graph(chains),
+    "community_roots", on_graph(chains, plain_graph),
     f"""WITH RECURSIVE {G1}, q AS (SELECT id, id - id % 2 - (id // 2) % 2 AS h FROM nodes),
 p AS (SELECT id, CASE WHEN h = id THEN CASE WHEN id % 40 = 0 THEN id ELSE id - 4 END ELSE h END AS parent FROM q),
 up AS (SELECT id, parent AS root FROM p UNION SELECT up.id, p.parent FROM up JOIN p ON p.id = up.root)

@@ -118,7 +118,7 @@ for _op, _sign in (("add", "+"), ("sub", "-"), ("mul", "*"), ("div", "/")):
 
 def on_node(make, width: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return orders_graph(spark, sf).nodes.select("id", *vec.spread(make(F.col("x")), width))
+        return orders_graph(spark, sf, eids=False).nodes.select("id", *vec.spread(make(F.col("x")), width))
 
     return run
 
@@ -196,24 +196,33 @@ def scatter(spark: SparkSession, sf: str) -> DataFrame:
     return mp.scatter_default(g.num_nodes, deg, "dst", "value", F.lit(0).cast("long"))
 
 
+def plain_graph(spark: SparkSession, sf: str) -> Graph:
+    """Without edge numbers."""
+    return orders_graph(spark, sf, eids=False)
+
+
+def plain_typed_graph(spark: SparkSession, sf: str) -> Graph:
+    return orders_typed_graph(spark, sf, eids=False)
+
+
 def on_graph(make, load=orders_graph):
     return lambda spark, sf: make(load(spark, sf))
 
 
 register("scatter_default", scatter, f"WITH {G1} SELECT id, count(dst) AS value FROM nodes LEFT JOIN edges ON dst = id GROUP BY id")
-register("add_self_loops_unique", on_graph(lambda g: mp.add_self_loops_unique(g.nodes, g.edges)), f"WITH {G1} SELECT src, dst FROM edges UNION SELECT id, id FROM nodes")
+register("add_self_loops_unique", on_graph(lambda g: mp.add_self_loops_unique(g.nodes, g.edges), plain_graph), f"WITH {G1} SELECT src, dst FROM edges UNION SELECT id, id FROM nodes")
 register(
-    "add_remaining_self_loops", on_graph(lambda g: mp.add_remaining_self_loops(g.nodes, g.edges, fill=2.0)),
+    "add_remaining_self_loops", on_graph(lambda g: mp.add_remaining_self_loops(g.nodes, g.edges, fill=2.0), plain_graph),
     f"WITH {G1} SELECT src, dst, 1.0::DOUBLE AS w FROM edges UNION ALL SELECT id, id, 2.0 FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE src = dst)",
 )
-register("has_self_loop", on_graph(lambda g: mp.has_self_loop(g.nodes, g.edges)), f"WITH {G1} SELECT id, id IN (SELECT src FROM edges WHERE src = dst) AS loop FROM nodes")
+register("has_self_loop", on_graph(lambda g: mp.has_self_loop(g.nodes, g.edges), plain_graph), f"WITH {G1} SELECT id, id IN (SELECT src FROM edges WHERE src = dst) AS loop FROM nodes")
 register(
     "etype_endpoints", on_graph(lambda g: mp.etype_endpoints(g.nodes, g.edges), orders_typed_graph),
     f"WITH {G2}, l AS (SELECT etype, max(eid) AS eid FROM edges GROUP BY etype) SELECT l.etype, a.ntype AS srctype, b.ntype AS dsttype FROM l JOIN edges USING (eid) JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id",
 )
-register("in_degree", on_graph(lambda g: mp.degrees(g.nodes, g.edges, "dst")), f"WITH {G1} SELECT id, count(dst) AS deg FROM nodes LEFT JOIN edges ON dst = id GROUP BY id")
-register("out_degree", on_graph(lambda g: mp.degrees(g.nodes, g.edges, "src")), f"WITH {G1} SELECT id, count(src) AS deg FROM nodes LEFT JOIN edges ON src = id GROUP BY id")
-register("unused_ids", on_graph(lambda g: mp.unused_ids(g.nodes, g.edges)), f"WITH {G1} SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
+register("in_degree", on_graph(lambda g: mp.degrees(g.nodes, g.edges, "dst"), plain_graph), f"WITH {G1} SELECT id, count(dst) AS deg FROM nodes LEFT JOIN edges ON dst = id GROUP BY id")
+register("out_degree", on_graph(lambda g: mp.degrees(g.nodes, g.edges, "src"), plain_graph), f"WITH {G1} SELECT id, count(src) AS deg FROM nodes LEFT JOIN edges ON src = id GROUP BY id")
+register("unused_ids", on_graph(lambda g: mp.unused_ids(g.nodes, g.edges), plain_graph), f"WITH {G1} SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
 register(
     "symmetrize", on_graph(lambda g: mp.symmetrize(g.edges.withColumn("e", e_feature()), F.col("e")).select("src", "dst", vec.rounded(F.col("w")).alias("w"))),
     f"WITH {G1_EDGES}, b AS (SELECT src, dst, {E_SQL} AS w FROM edges WHERE src <> dst UNION ALL SELECT dst, src, {E_SQL} FROM edges WHERE src <> dst) SELECT src, dst, {r6('sum(w)', 'w')} FROM b GROUP BY src, dst HAVING sum(w) > 0",
@@ -258,7 +267,7 @@ _DEG = "deg AS (SELECT id, count(dst) AS deg FROM nodes LEFT JOIN edges ON dst =
 register("pointer_scan", events_pointer, f"WITH {G1}, {_DEG} SELECT id, deg, CAST(sum(deg) OVER w AS BIGINT) AS inclusive, CAST(sum(deg) OVER w - deg AS BIGINT) AS exclusive FROM deg WINDOW w AS (ORDER BY id)")
 register("change_flag", on_graph(change_flag), f"WITH {G1_EDGES} SELECT eid, dst // 16 AS win, coalesce(CAST(lag(src) OVER (PARTITION BY dst // 16 ORDER BY src, dst, eid) <> src AS INTEGER), 1) AS flag FROM edges")
 register(
-    "compact_col_rank", on_graph(lambda g: layout.compact(g.edges, 16)),
+    "compact_col_rank", on_graph(lambda g: layout.compact(g.edges, 16), plain_graph),
     f"WITH {G1_EDGES} SELECT src, dst, dst // 16 AS win, dense_rank() OVER (PARTITION BY dst // 16 ORDER BY src) AS rank FROM edges",
 )
 register("edge_slot", on_graph(lambda g: layout.edge_slots(g.edges)), f"WITH {G1_EDGES} SELECT eid, src, dst, row_number() OVER (PARTITION BY dst ORDER BY eid) - 1 AS slot FROM edges")
@@ -268,13 +277,13 @@ register(
     "preprocess_csr", on_graph(preprocess_csr),
     f"WITH {G1}, {_DEG}, o AS (SELECT id, CAST(sum(deg) OVER (ORDER BY id) - deg AS BIGINT) AS first FROM deg) SELECT row_number() OVER (ORDER BY dst // 4, src, dst, eid) - 1 AS pos, eid, src, dst, first AS \"offset\" FROM edges JOIN o ON dst = id",
 )
-register("row_swizzle", on_graph(row_swizzle), f"WITH {G1}, {_DEG} SELECT id, deg, row_number() OVER (ORDER BY deg DESC, id) - 1 AS place FROM deg")
-register("merge_order", on_graph(lambda g: row_swizzle(g, False)), f"WITH {G1}, {_DEG} SELECT id, deg, row_number() OVER (ORDER BY deg, id) - 1 AS place FROM deg")
-register("inverse_perm", on_graph(inverse_perm), f"WITH {G1}, {_DEG} SELECT row_number() OVER (ORDER BY deg DESC, id) - 1 AS id, id AS old FROM deg")
+register("row_swizzle", on_graph(row_swizzle, plain_graph), f"WITH {G1}, {_DEG} SELECT id, deg, row_number() OVER (ORDER BY deg DESC, id) - 1 AS place FROM deg")
+register("merge_order", on_graph(lambda g: row_swizzle(g, False), plain_graph), f"WITH {G1}, {_DEG} SELECT id, deg, row_number() OVER (ORDER BY deg, id) - 1 AS place FROM deg")
+register("inverse_perm", on_graph(inverse_perm, plain_graph), f"WITH {G1}, {_DEG} SELECT row_number() OVER (ORDER BY deg DESC, id) - 1 AS id, id AS old FROM deg")
 
 _NEAR = "near AS (SELECT DISTINCT dst AS id, src AS nb FROM edges), size AS (SELECT id, count(*) AS n FROM near GROUP BY id)"
 register(
-    "jaccard", on_graph(lambda g: cluster.jaccard(g.edges).select("a", "b", "inter", vec.rounded(F.col("sim")).alias("sim"))),
+    "jaccard", on_graph(lambda g: cluster.jaccard(g.edges).select("a", "b", "inter", vec.rounded(F.col("sim")).alias("sim")), plain_graph),
     f"WITH {G1_EDGES}, {_NEAR}, i AS (SELECT x.id AS a, y.id AS b, count(*) AS inter FROM near x JOIN near y ON x.nb = y.nb AND x.id < y.id GROUP BY ALL) SELECT a, b, inter, {r6('inter / (x.n + y.n - inter)::DOUBLE', 'sim')} FROM i JOIN size x ON a = x.id JOIN size y ON b = y.id",
 )
-register("cluster_neighbors", on_graph(lambda g: cluster.cluster_sets(g.edges, g.nodes.select("id", (F.col("id") % 10).alias("cluster")))), f"WITH {G1_EDGES} SELECT DISTINCT dst % 10 AS cluster, src AS nb FROM edges")
+register("cluster_neighbors", on_graph(lambda g: cluster.cluster_sets(g.edges, g.nodes.select("id", (F.col("id") % 10).alias("cluster"))), plain_graph), f"WITH {G1_EDGES} SELECT DISTINCT dst % 10 AS cluster, src AS nb FROM edges")

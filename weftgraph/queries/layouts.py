@@ -9,7 +9,7 @@ from weftgraph.operators import layout
 from weftgraph.operators import message as mp
 from weftgraph.operators.numbering import bucket_of, row_numbers, running_sum
 from weftgraph.queries.base import G1, G1_EDGES, register
-from weftgraph.queries.graphs import on_graph
+from weftgraph.queries.graphs import on_graph, plain_graph
 from weftgraph.sources.graph import Graph, dense_windows_graph
 
 BOUNDARY = 6.36
@@ -40,22 +40,22 @@ def graph_set(g: Graph) -> DataFrame:
     return laid.groupBy("win", "src", (F.col("rank") - 1).alias("slot")).agg(F.bit_or(layout.bit(F.col("r"))).alias("members")).select("win", "slot", "src", "members")
 
 
-register("graph_set", on_graph(graph_set), f"WITH {G1_EDGES}, {_RANKED} SELECT win, rank AS slot, src, bit_or(CAST(1 AS BIGINT) << (dst % 16)::INT) AS members FROM k GROUP BY ALL")
+register("graph_set", on_graph(graph_set, plain_graph), f"WITH {G1_EDGES}, {_RANKED} SELECT win, rank AS slot, src, bit_or(CAST(1 AS BIGINT) << (dst % 16)::INT) AS members FROM k GROUP BY ALL")
 register(
-    "dtc_windows", on_graph(lambda g: layout.window_offsets(g.edges, g.num_nodes, 16, 8)),
+    "dtc_windows", on_graph(lambda g: layout.window_offsets(g.edges, g.num_nodes, 16, 8), plain_graph),
     f"""WITH {G1_EDGES}, {_WINDOWS} SELECT win, cols, (cols + 7) // 8 AS nblk, CAST(sum((cols + 7) // 8) OVER w AS BIGINT) AS row_window_offset, CAST(sum(cols) OVER w AS BIGINT) AS tc_offset FROM cols WINDOW w AS (ORDER BY win)""",
 )
 _ROW_MASKS = "SELECT win, blk, r, bit_or(CAST(1 AS BIGINT) << c::INT) AS mask FROM b GROUP BY ALL"
-register("dtc_block_mask", on_graph(lambda g: layout.row_masks(g.edges, 16, 8)), f"WITH {G1_EDGES}, {_BLOCKS} {_ROW_MASKS}")
-register("dtc_atox", on_graph(lambda g: layout.sources_of_windows(g.edges, g.num_nodes, 16)), f"WITH {G1_EDGES}, {_RANKED} SELECT DISTINCT win, rank AS slot, src FROM k")
+register("dtc_block_mask", on_graph(lambda g: layout.row_masks(g.edges, 16, 8), plain_graph), f"WITH {G1_EDGES}, {_BLOCKS} {_ROW_MASKS}")
+register("dtc_atox", on_graph(lambda g: layout.sources_of_windows(g.edges, g.num_nodes, 16), plain_graph), f"WITH {G1_EDGES}, {_RANKED} SELECT DISTINCT win, rank AS slot, src FROM k")
 register(
-    "dtc_balanced", on_graph(lambda g: layout.balanced_segments(g.edges, g.num_nodes, 16, 8)),
+    "dtc_balanced", on_graph(lambda g: layout.balanced_segments(g.edges, g.num_nodes, 16, 8), plain_graph),
     f"""WITH {G1_EDGES}, {_WINDOWS}, q AS (SELECT win, cols, (cols + 7) // 8 AS nblk FROM cols),
 a AS (SELECT CAST(greatest(sum(nblk) * 16 // (any_value(n) + 15), 1) AS BIGINT) AS avg FROM q, n),
 s AS (SELECT win, cols, avg, CAST(unnest(range(greatest((nblk + avg - 1) // avg, 1))) AS BIGINT) AS segment FROM q, a)
 SELECT win, segment, segment * avg * 8 AS first, least((segment + 1) * avg * 8, cols) AS last FROM s""",
 )
-register("short_mask_cols", on_graph(lambda g: layout.column_masks(g.edges, 16, 8)), f"WITH {G1_EDGES}, {_BLOCKS} SELECT win, blk, c, bit_or(CAST(1 AS BIGINT) << r::INT) AS mask FROM b GROUP BY ALL")
+register("short_mask_cols", on_graph(lambda g: layout.column_masks(g.edges, 16, 8), plain_graph), f"WITH {G1_EDGES}, {_BLOCKS} SELECT win, blk, c, bit_or(CAST(1 AS BIGINT) << r::INT) AS mask FROM b GROUP BY ALL")
 
 
 def short_mask_rows(g: Graph) -> DataFrame:
@@ -64,17 +64,17 @@ def short_mask_rows(g: Graph) -> DataFrame:
     return row_numbers(masks, ["win", "blk", "r"], bucket_of(F.col("win"), layout.windows_of(g.num_nodes, 16)), "place").select("win", "blk", "r", "mask", "place")
 
 
-register("short_mask_rows", on_graph(short_mask_rows), f"WITH {G1_EDGES}, {_BLOCKS}, m AS ({_ROW_MASKS}) SELECT *, row_number() OVER (ORDER BY win, blk, r) - 1 AS place FROM m")
+register("short_mask_rows", on_graph(short_mask_rows, plain_graph), f"WITH {G1_EDGES}, {_BLOCKS}, m AS ({_ROW_MASKS}) SELECT *, row_number() OVER (ORDER BY win, blk, r) - 1 AS place FROM m")
 register(
-    "short_mask_atox", on_graph(lambda g: layout.sources_of_windows(g.edges, g.num_nodes, 16, 8)),
+    "short_mask_atox", on_graph(lambda g: layout.sources_of_windows(g.edges, g.num_nodes, 16, 8), plain_graph),
     f"WITH {G1_EDGES}, {_RANKED}, u AS (SELECT DISTINCT win, rank AS slot, src FROM k), m AS (SELECT win, count(*) AS cols FROM u GROUP BY win) SELECT * FROM u UNION ALL SELECT win, CAST(unnest(range(cols, (cols + 7) // 8 * 8)) AS BIGINT), n FROM m, n",
 )
 register(
-    "dtc_compression", on_graph(lambda g: layout.compression(g.edges, g.num_nodes)),
+    "dtc_compression", on_graph(lambda g: layout.compression(g.edges, g.num_nodes), plain_graph),
     f'WITH {G1_EDGES}, {_BLOCKS}, z AS (SELECT win, blk, count(*) AS nnz FROM b GROUP BY ALL) SELECT win, blk, nnz, CAST(sum(nnz) OVER (ORDER BY win, blk) AS BIGINT) AS "offset" FROM z',
 )
 register(
-    "csr_to_block_order", on_graph(lambda g: layout.block_order(g.edges, g.num_nodes)),
+    "csr_to_block_order", on_graph(lambda g: layout.block_order(g.edges, g.num_nodes), plain_graph),
     f"WITH {G1_EDGES}, {_BLOCKS}, p AS (SELECT *, row_number() OVER (ORDER BY dst, src) - 1 AS csr_pos FROM b) SELECT src, dst, csr_pos, row_number() OVER (ORDER BY win, blk, csr_pos) - 1 AS block_pos, r * 8 + c AS tile FROM p",
 )
 
@@ -111,7 +111,7 @@ SELECT CAST(first * 8 + k AS BIGINT) AS place, coalesce(eid, (SELECT count(*) FR
 )
 register("csr_to_linear", on_graph(lambda g: g.edges.select("eid", (F.col("dst") * g.num_nodes + F.col("src")).alias("idx"))), f"WITH {G1_EDGES} SELECT eid, dst * n + src AS idx FROM edges, n")
 register(
-    "degree_buckets", on_graph(lambda g: layout.degree_buckets(g.edges, 128)),
+    "degree_buckets", on_graph(lambda g: layout.degree_buckets(g.edges, 128), plain_graph),
     f"WITH {G1_EDGES}, d AS (SELECT src // 128 AS part, dst, count(*) AS deg FROM edges GROUP BY ALL) SELECT part, CAST(ceil(log2(deg)) AS INTEGER) AS bucket, count(*) AS rows FROM d GROUP BY ALL",
 )
 
@@ -122,4 +122,4 @@ def tcgnn_partition(g: Graph) -> DataFrame:
     return layout.compact(g.edges, 16).join(per, "win").select(F.col("dst").alias("edge_to_row"), (F.col("rank") - 1).alias("edge_to_column"), "src", "block_partition")
 
 
-register("tcgnn_partition", on_graph(tcgnn_partition), f"WITH {G1_EDGES}, {_RANKED} SELECT dst AS edge_to_row, rank AS edge_to_column, src, (max(rank) OVER (PARTITION BY win) + 8) // 8 AS block_partition FROM k")
+register("tcgnn_partition", on_graph(tcgnn_partition, plain_graph), f"WITH {G1_EDGES}, {_RANKED} SELECT dst AS edge_to_row, rank AS edge_to_column, src, (max(rank) OVER (PARTITION BY win) + 8) // 8 AS block_partition FROM k")

@@ -11,7 +11,7 @@ from weftgraph.operators import models
 from weftgraph.plans.compiler import compile_udf, update_all
 from weftgraph.plans.values import cat
 from weftgraph.queries.base import G1, G2, X, dot_sql, mm_sql, named, on_nodes, outs, r6, register, softmax_sql, typed_mm_sql, w_sql
-from weftgraph.queries.graphs import E_SQL, on_graph, with_e
+from weftgraph.queries.graphs import E_SQL, on_graph, plain_graph, plain_typed_graph, with_e
 from weftgraph.queries.products import rounded_nodes
 from weftgraph.sources.graph import Graph, orders_typed_graph
 
@@ -46,11 +46,11 @@ def _gcn_layer(source: str, t: int) -> str:
 
 
 _DEG = "deg AS (SELECT id, count(dst)::DOUBLE AS deg FROM nodes LEFT JOIN edges ON dst = id GROUP BY id)"
-register("gcn_udf", on_graph(lambda g: rounded_nodes(gcn_udf(g), 4)), f"WITH {G1}, {_DEG}, a AS ({_gcn_layer('nodes', 0)}), b AS ({_gcn_layer('a', 1)}) SELECT id, {outs(X)} FROM b")
+register("gcn_udf", on_graph(lambda g: rounded_nodes(gcn_udf(g), 4), plain_graph), f"WITH {G1}, {_DEG}, a AS ({_gcn_layer('nodes', 0)}), b AS ({_gcn_layer('a', 1)}) SELECT id, {outs(X)} FROM b")
 _MEAN = f"SELECT dst, {', '.join(f'avg({c}) AS o{i}' for i, c in enumerate(Z))} FROM edges JOIN z ON src = id GROUP BY dst"
-register("gcn_right", on_graph(lambda g: rounded_nodes(models.gcn_right(g, W4, 4), 4)), f"WITH {G1}, {_NZ} {on_nodes(_MEAN, 4, wrap='greatest({}, 0.0)')}")
+register("gcn_right", on_graph(lambda g: rounded_nodes(models.gcn_right(g, W4, 4), 4), plain_graph), f"WITH {G1}, {_NZ} {on_nodes(_MEAN, 4, wrap='greatest({}, 0.0)')}")
 register(
-    "gcn_sym", on_graph(lambda g: rounded_nodes(models.gcn_sym(g, W4, 4), 4)),
+    "gcn_sym", on_graph(lambda g: rounded_nodes(models.gcn_sym(g, W4, 4), 4), plain_graph),
     f"""WITH {G1}, {_NZ}, al AS (SELECT src, dst FROM edges UNION ALL SELECT id, id FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE src = dst)),
 d AS (SELECT dst AS id, count(*)::DOUBLE AS deg FROM al GROUP BY dst)
 {on_nodes(f"SELECT dst, {', '.join(f'sum({c} * pow(a.deg, -0.5) * pow(b.deg, -0.5)) AS o{i}' for i, c in enumerate(Z))} FROM al JOIN z ON src = z.id JOIN d a ON src = a.id JOIN d b ON dst = b.id GROUP BY dst", 4)}""",
@@ -83,9 +83,9 @@ def _gat_sql(act: str, a_dst, a_src) -> str:
 
 
 _LEAKY = "CASE WHEN s > 0 THEN s ELSE 0.01 * s END"
-register("gat_udf", on_graph(lambda g: rounded_nodes(gat_udf(g), 4)), _gat_sql(_LEAKY, models.A_DST, models.A_SRC))
-register("gat", on_graph(lambda g: rounded_nodes(models.gat(g, W4, 4), 4)), _gat_sql(_LEAKY, models.A_DST, models.A_SRC))
-register("gat_linear_attn", on_graph(lambda g: rounded_nodes(models.gat_linear_attention(g, W4, 4), 4)), _gat_sql("s", models.A_SRC, models.A_DST))
+register("gat_udf", on_graph(lambda g: rounded_nodes(gat_udf(g), 4), plain_graph), _gat_sql(_LEAKY, models.A_DST, models.A_SRC))
+register("gat", on_graph(lambda g: rounded_nodes(models.gat(g, W4, 4), 4), plain_graph), _gat_sql(_LEAKY, models.A_DST, models.A_SRC))
+register("gat_linear_attn", on_graph(lambda g: rounded_nodes(models.gat_linear_attention(g, W4, 4), 4), plain_graph), _gat_sql("s", models.A_SRC, models.A_DST))
 
 
 def _multihead_sql(heads: int) -> str:
@@ -96,7 +96,7 @@ FROM edges JOIN z a ON src = a.id JOIN z b ON dst = b.id AND a.head = b.head), s
     return f"WITH {G1}, {z}, {raw} SELECT z.id, z.head, {outs([f'coalesce(o{i}, 0.0)' for i in range(4)])} FROM z LEFT JOIN g ON g.dst = z.id AND g.head = z.head"
 
 
-register("gat_multihead", on_graph(lambda g: rounded_nodes(models.gat_multihead(g, 2, 4), 4, ("id", "head"))), _multihead_sql(2))
+register("gat_multihead", on_graph(lambda g: rounded_nodes(models.gat_multihead(g, 2, 4), 4, ("id", "head")), plain_graph), _multihead_sql(2))
 
 # ---- AGNN ----
 
@@ -117,10 +117,10 @@ def agnn_scores(g: Graph) -> DataFrame:
     return models.agnn_scores(g.nodes, models.agnn_edges(g), 4)
 
 
-register("agnn", on_graph(lambda g: rounded_nodes(models.agnn_layer(g.nodes, models.agnn_edges(g), 4), 4)), f"{_AGNN} {on_nodes(softmax_sql('scored', 'dst', 4), 4)}")
-register("agnn_scores", on_graph(lambda g: agnn_scores(g).select("src", "dst", vec.rounded(F.col("score")).alias("score"))), f"{_AGNN} SELECT src, dst, {r6('score', 'score')} FROM scored")
+register("agnn", on_graph(lambda g: rounded_nodes(models.agnn_layer(g.nodes, models.agnn_edges(g), 4), 4), plain_graph), f"{_AGNN} {on_nodes(softmax_sql('scored', 'dst', 4), 4)}")
+register("agnn_scores", on_graph(lambda g: agnn_scores(g).select("src", "dst", vec.rounded(F.col("score")).alias("score")), plain_graph), f"{_AGNN} SELECT src, dst, {r6('score', 'score')} FROM scored")
 register(
-    "agnn_softmax", on_graph(lambda g: mp.segment_softmax(agnn_scores(g).select("src", "dst", "score"), "score").select("src", "dst", vec.rounded(F.col("score_soft")).alias("alpha"))),
+    "agnn_softmax", on_graph(lambda g: mp.segment_softmax(agnn_scores(g).select("src", "dst", "score"), "score").select("src", "dst", vec.rounded(F.col("score_soft")).alias("alpha")), plain_graph),
     f"{_AGNN} SELECT src, dst, {r6('exp(score) / sum(exp(score)) OVER (PARTITION BY dst)', 'alpha')} FROM scored",
 )
 
@@ -130,10 +130,10 @@ def agnn_spmm(g: Graph) -> DataFrame:
     return mp.reduce_edges(g.nodes, scored, vec.scale(F.col("raw"), F.col("score"), 4), 4)
 
 
-register("agnn_spmm", on_graph(lambda g: rounded_nodes(agnn_spmm(g), 4)), f"{_AGNN} " + on_nodes("SELECT dst, " + ", ".join(f"sum(score * v{i}) AS o{i}" for i in range(4)) + " FROM scored GROUP BY dst", 4))
-register("agnn_tc_norm", on_graph(lambda g: rounded_nodes(models.agnn_layer(g.nodes, models.agnn_edges(g), 4, value="u_src"), 4)), f"WITH {G1}, {_LOOPS}, {_agnn_ctes('nodes', '', 'u')} {on_nodes(softmax_sql('scored', 'dst', 4), 4)}")
+register("agnn_spmm", on_graph(lambda g: rounded_nodes(agnn_spmm(g), 4), plain_graph), f"{_AGNN} " + on_nodes("SELECT dst, " + ", ".join(f"sum(score * v{i}) AS o{i}" for i in range(4)) + " FROM scored GROUP BY dst", 4))
+register("agnn_tc_norm", on_graph(lambda g: rounded_nodes(models.agnn_layer(g.nodes, models.agnn_edges(g), 4, value="u_src"), 4), plain_graph), f"WITH {G1}, {_LOOPS}, {_agnn_ctes('nodes', '', 'u')} {on_nodes(softmax_sql('scored', 'dst', 4), 4)}")
 register(
-    "agnn_tc_dot", on_graph(lambda g: rounded_nodes(models.agnn_dot(g, W4, 4, 0.5), 4)),
+    "agnn_tc_dot", on_graph(lambda g: rounded_nodes(models.agnn_dot(g, W4, 4, 0.5), 4), plain_graph),
     f"WITH {G1}, {_NZ}, {_LOOPS}, scored AS (SELECT dst, 0.5 * {dot_sql([f'a.{c}' for c in Z], [f'b.{c}' for c in Z])} AS s, {', '.join(f'a.{c} AS v{i}' for i, c in enumerate(Z))} FROM al JOIN z a ON src = a.id JOIN z b ON dst = b.id) "
     + on_nodes("SELECT dst, " + ", ".join(f"sum(s * v{i}) AS o{i}" for i in range(4)) + " FROM scored GROUP BY dst", 4),
 )
@@ -147,7 +147,7 @@ def _agnn_model_sql(layers: int) -> str:
     return f"WITH {G1}, {_LOOPS}, {', '.join(ctes)} SELECT id, {outs(mm_sql(X, 4, 1))} FROM h{layers}"
 
 
-register("agnn_model", on_graph(lambda g: rounded_nodes(models.agnn_model(g), 4)), _agnn_model_sql(4))
+register("agnn_model", on_graph(lambda g: rounded_nodes(models.agnn_model(g), 4), plain_graph), _agnn_model_sql(4))
 
 # ---- RGCN ----
 
@@ -176,13 +176,13 @@ def weight_basis(g: Graph) -> DataFrame:
 
 
 register(
-    "weight_basis", on_graph(weight_basis, orders_typed_graph),
+    "weight_basis", on_graph(weight_basis, plain_typed_graph),
     " UNION ALL ".join(f"SELECT {t} AS type, " + ", ".join(r6(_basis(t, i, j), f"w{i * 4 + j}") for i in range(4) for j in range(4)) for t in range(3)),
 )
 _HETERO = f"""h AS (SELECT dst, etype, {', '.join(f'avg({c}) AS a{i}' for i, c in enumerate(X))} FROM edges JOIN nodes ON src = id GROUP BY dst, etype),
 summed AS (SELECT dst, {', '.join(f'sum({e}) AS o{i}' for i, e in enumerate(_basis_mm([f'a{k}' for k in range(4)])))} FROM h GROUP BY dst)"""
 register(
-    "rgcn_hetero", on_graph(lambda g: rounded_nodes(models.rgcn_hetero(g), 4), orders_typed_graph),
+    "rgcn_hetero", on_graph(lambda g: rounded_nodes(models.rgcn_hetero(g), 4), plain_typed_graph),
     f"WITH {G2}, {_HETERO} SELECT id, {outs([f'greatest(coalesce(o{i}, 0.0) + {e} + 0.25, 0.0)' for i, e in enumerate(mm_sql(X, 4, 7))])} FROM nodes LEFT JOIN summed ON dst = id",
 )
 
@@ -206,9 +206,9 @@ def _hgt_typed(how: str) -> str:
     return f"SELECT dst, {', '.join(f'{how}(o{i}) AS o{i}' for i in range(4))} FROM ({softmax_sql('scored', 'dst, etype', 4)}) GROUP BY dst"
 
 
-register("hgt", on_graph(lambda g: rounded_nodes(models.hgt(g), 4), orders_typed_graph), _hgt_sql(softmax_sql("scored", "dst", 4)))
-register("hgt_slice", on_graph(lambda g: rounded_nodes(models.hgt_by_type(g), 4), orders_typed_graph), _hgt_sql(_hgt_typed("sum")))
-register("hgt_hetero", on_graph(lambda g: rounded_nodes(models.hgt_by_type(g, how="mean"), 4), orders_typed_graph), _hgt_sql(_hgt_typed("avg")))
+register("hgt", on_graph(lambda g: rounded_nodes(models.hgt(g), 4), plain_typed_graph), _hgt_sql(softmax_sql("scored", "dst", 4)))
+register("hgt_slice", on_graph(lambda g: rounded_nodes(models.hgt_by_type(g), 4), plain_typed_graph), _hgt_sql(_hgt_typed("sum")))
+register("hgt_hetero", on_graph(lambda g: rounded_nodes(models.hgt_by_type(g, how="mean"), 4), plain_typed_graph), _hgt_sql(_hgt_typed("avg")))
 
 # ---- attention over edge rows and masks ----
 

@@ -9,7 +9,7 @@ from weftgraph.functions import vec
 from weftgraph.operators import cluster, layout, models, tensor
 from weftgraph.operators import message as mp
 from weftgraph.queries.base import G1, G1_EDGES, G2, X, dot_sql, mm_sql, named, on_nodes, outs, r6, register, typed_mm_sql, w_sql
-from weftgraph.queries.graphs import E_SQL, e_feature, on_graph, with_e
+from weftgraph.queries.graphs import E_SQL, e_feature, on_graph, plain_graph, plain_typed_graph, with_e
 from weftgraph.sources.graph import Graph, orders_graph, orders_typed_graph, table
 
 
@@ -47,7 +47,7 @@ def _mul_sql(end: str, by: str) -> str:
 
 _COPY = "SELECT dst, " + ", ".join(f"sum({c}) AS o{i}" for i, c in enumerate(X)) + " FROM edges JOIN nodes ON src = id GROUP BY dst"
 register("spmm_edge_sum", on_graph(lambda g: rounded_nodes(mp.reduce_edges(g.nodes, g.edges, F.array(e_feature()), 1), 1)), f"WITH {G1} " + on_nodes(f"SELECT dst, sum({E_SQL}) AS o0 FROM edges GROUP BY dst", 1))
-register("copy_u_sum", on_graph(copy_u_sum), f"WITH {G1} {on_nodes(_COPY, 4)}")
+register("copy_u_sum", on_graph(copy_u_sum, plain_graph), f"WITH {G1} {on_nodes(_COPY, 4)}")
 register("u_mul_e_sum", on_graph(lambda g: mul_e_sum(g, "src", "dst")), _mul_sql("src", "dst"))
 register("v_mul_e_sum", on_graph(lambda g: mul_e_sum(g, "dst", "dst")), _mul_sql("dst", "dst"))
 register("out_v_mul_e_sum", on_graph(lambda g: mul_e_sum(g, "dst", "src")), _mul_sql("dst", "src"))
@@ -73,13 +73,13 @@ def typed_weights(g: Graph) -> DataFrame:
     return joined.select("eid", *vec.spread(F.col("w"), 4, "w"))
 
 
-register("segment_mm_node", on_graph(segment_mm_node, orders_typed_graph), f"WITH {G2} SELECT id, {outs(typed_mm_sql(X, 4, 'ntype', 3))} FROM nodes")
+register("segment_mm_node", on_graph(segment_mm_node, plain_typed_graph), f"WITH {G2} SELECT id, {outs(typed_mm_sql(X, 4, 'ntype', 3))} FROM nodes")
 register("segment_mm_edge", on_graph(segment_mm_edge, orders_typed_graph), f"WITH {G2} SELECT eid, {outs(typed_mm_sql(X, 4, 'etype', 3))} FROM edges JOIN nodes ON src = id")
 register(
     "typed_weights", on_graph(typed_weights, orders_typed_graph),
     f"WITH {G2} SELECT eid, " + ", ".join(r6("CASE etype " + " ".join(f"WHEN {t} THEN {w_sql(i, j, t)}" for t in range(3)) + " END", f"w{i * 2 + j}") for i in range(2) for j in range(2)) + " FROM edges",
 )
-register("linear", on_graph(lambda g: models.linear(g.nodes, models.w_matrix(4, 3)).select("id", *vec.spread(F.col("z"), 3))), f"WITH {G1} SELECT id, {outs(mm_sql(X, 3))} FROM nodes")
+register("linear", on_graph(lambda g: models.linear(g.nodes, models.w_matrix(4, 3)).select("id", *vec.spread(F.col("z"), 3)), plain_graph), f"WITH {G1} SELECT id, {outs(mm_sql(X, 3))} FROM nodes")
 
 # ---- counts by window ----
 
@@ -101,11 +101,11 @@ def block_density(g: Graph) -> DataFrame:
     return tensor.density(bits, F.lit(128.0)).select(vec.rounded(F.col("density")).alias("density"))
 
 
-register("window_edge_count", on_graph(window_edge_count), f"WITH {G1_EDGES} SELECT dst // 16 AS win, count(*) AS n FROM edges GROUP BY 1")
-register("window_col_count", on_graph(window_col_count), f"WITH {G1_EDGES} SELECT dst // 16 AS win, count(DISTINCT src) AS cols FROM edges GROUP BY 1")
-register("block_max_degree", on_graph(block_max_degree), f"WITH {G1}, deg AS (SELECT id, count(dst) AS deg FROM nodes LEFT JOIN edges ON dst = id GROUP BY id) SELECT id // 8 AS blk, max(deg) AS deg FROM deg GROUP BY 1")
+register("window_edge_count", on_graph(window_edge_count, plain_graph), f"WITH {G1_EDGES} SELECT dst // 16 AS win, count(*) AS n FROM edges GROUP BY 1")
+register("window_col_count", on_graph(window_col_count, plain_graph), f"WITH {G1_EDGES} SELECT dst // 16 AS win, count(DISTINCT src) AS cols FROM edges GROUP BY 1")
+register("block_max_degree", on_graph(block_max_degree, plain_graph), f"WITH {G1}, deg AS (SELECT id, count(dst) AS deg FROM nodes LEFT JOIN edges ON dst = id GROUP BY id) SELECT id // 8 AS blk, max(deg) AS deg FROM deg GROUP BY 1")
 register(
-    "block_density", on_graph(block_density),
+    "block_density", on_graph(block_density, plain_graph),
     f"""WITH {G1_EDGES}, k AS (SELECT dst, dst // 16 AS win, src, dense_rank() OVER (PARTITION BY dst // 16 ORDER BY src) - 1 AS rank FROM edges)
 SELECT {r6('100.0 * count(*) / (128.0 * (SELECT count(*) FROM (SELECT DISTINCT win, rank // 8 FROM k)))::DOUBLE', 'density')} FROM k""",
 )
@@ -227,7 +227,7 @@ def cross_etype_mean(g: Graph) -> DataFrame:
 
 
 _PER = "SELECT dst, etype, " + ", ".join(f"sum({c}) AS t{i}" for i, c in enumerate(X)) + " FROM edges JOIN nodes ON src = id GROUP BY dst, etype"
-register("cross_etype_mean", on_graph(cross_etype_mean, orders_typed_graph), f"WITH {G2} " + on_nodes("SELECT dst, " + ", ".join(f"avg(t{i}) AS o{i}" for i in range(4)) + f" FROM ({_PER}) GROUP BY dst", 4))
+register("cross_etype_mean", on_graph(cross_etype_mean, plain_typed_graph), f"WITH {G2} " + on_nodes("SELECT dst, " + ", ".join(f"avg(t{i}) AS o{i}" for i in range(4)) + f" FROM ({_PER}) GROUP BY dst", 4))
 
 
 def modularity(g: Graph) -> DataFrame:
@@ -236,7 +236,7 @@ def modularity(g: Graph) -> DataFrame:
 
 
 register(
-    "modularity", on_graph(modularity),
+    "modularity", on_graph(modularity, plain_graph),
     f"""WITH {G1_EDGES}, d AS (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst),
 c AS (SELECT src % 10 AS c, count(*)::DOUBLE AS al, (count(*) FILTER (WHERE src % 10 = dst % 10))::DOUBLE AS inn FROM d GROUP BY 1)
 SELECT {r6('sum(inn) / sum(al) - sum(al * al) / (sum(al) * sum(al))', 'q')} FROM c""",

@@ -46,21 +46,25 @@ def debug_graph(spark: SparkSession) -> Graph:
     return literal_graph(spark, [0, 0, 0, 1, 1, 2], [0, 1, 2, 1, 2, 2], [[1], [2], [3]])
 
 
-def orders_graph(spark: SparkSession, sf_dir: str, width: int = 4, distinct: bool = True) -> Graph:
-    """Homogeneous graph: orders link customers and keys modulo the number of embeddings; features are embeddings."""
+def orders_graph(spark: SparkSession, sf_dir: str, width: int = 4, distinct: bool = True, eids: bool = True) -> Graph:
+    """Homogeneous graph: orders link customers and keys modulo the number of embeddings; features are embeddings.
+
+    Without ``eids`` the edges aren't numbered, which saves two passes over them.
+    """
     vectors = table(spark, sf_dir, "embeddings")
     n = vectors.count()
     orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' AND o_orderkey % 10 <> 9")
     edges = orders.select((F.col("o_custkey") % n).cast("long").alias("src"), (F.col("o_orderkey") % n).cast("long").alias("dst"))
     edges = edges.distinct() if distinct else edges
     nodes = vectors.select(F.col("vec_id").cast("long").alias("id"), F.slice("embedding", 1, width).cast("array<double>").alias("x"))
-    edges = row_numbers(edges, ["src", "dst"], bucket_of(F.col("src"), n), "eid")
-    return Graph(nodes, edges.select("eid", "src", "dst"), n)
+    if eids:
+        edges = row_numbers(edges, ["src", "dst"], bucket_of(F.col("src"), n), "eid").select("eid", "src", "dst")
+    return Graph(nodes, edges, n)
 
 
 def dense_windows_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The orders graph with eight equal sources in each even window of 16 rows."""
-    base = orders_graph(spark, sf_dir)
+    base = orders_graph(spark, sf_dir, eids=False)
     window = F.expr("id div 16")
     rows = base.nodes.filter(window % 2 == 0).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     dense = rows.select((window * 16 + F.col("k")).cast("long").alias("src"), F.col("id").alias("dst"))
@@ -73,8 +77,11 @@ def typed_features(node: Column) -> Column:
     return F.array(part(3, 7, 3, 4), part(5, 11, 5, 8), part(7, 13, 6, 8), F.lit(1.0))
 
 
-def orders_typed_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Customers (0), parts (1), suppliers (2) in one id space; edges customer→part, part→supplier, supplier→part."""
+def orders_typed_graph(spark: SparkSession, sf_dir: str, eids: bool = True) -> Graph:
+    """Customers (0), parts (1), suppliers (2) in one id space; edges customer→part, part→supplier, supplier→part.
+
+    Without ``eids`` the edges have neither a number nor the norm that is made from it.
+    """
     sizes = [table(spark, sf_dir, t).count() for t in ("customer", "part", "supplier")]
     starts = [0, sizes[0], sizes[0] + sizes[1]]
     keys = [("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey")]
@@ -90,8 +97,9 @@ def orders_typed_graph(spark: SparkSession, sf_dir: str) -> Graph:
     back = part_supplier.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     edges = typed(customer_part, 0).unionByName(typed(part_supplier, 1)).unionByName(typed(back, 2))
     total = sum(sizes)
-    edges = row_numbers(edges, ["etype", "src", "dst"], bucket_of(F.col("etype") * total + F.col("src"), 3 * total), "eid")
-    edges = edges.select("eid", "src", "dst", "etype", ((F.col("eid") % 5 + 1) / F.lit(8.0)).alias("norm"))
+    if eids:
+        edges = row_numbers(edges, ["etype", "src", "dst"], bucket_of(F.col("etype") * total + F.col("src"), 3 * total), "eid")
+        edges = edges.select("eid", "src", "dst", "etype", ((F.col("eid") % 5 + 1) / F.lit(8.0)).alias("norm"))
     ntypes = spark.createDataFrame([(t, start, size) for t, (start, size) in enumerate(zip(starts, sizes, strict=True))], "ntype int, start long, size long")
     etypes = spark.createDataFrame([(0, 0, 1), (1, 1, 2), (2, 2, 1)], "etype int, srctype int, dsttype int")
     return Graph(nodes.withColumn("x", typed_features(F.col("id"))), edges, total, ntypes, etypes)
