@@ -166,11 +166,26 @@ def test_anchors_and_rolling_hashes():
 SUFFIX = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 1000}, {"most_contexts": 1}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 1000}, {"most_contexts": 1}, {"most_contexts": 3}])
 def test_suffixes(docs, rows, options):
     assert sorted(got(suffix_dedup(docs, **options), *SUFFIX)) == sorted(brute.suffixes(rows))
 
 
+@pytest.mark.parametrize("most", [2048, 6, 2, 1])
+def test_suffixes_of_near_copies(spark, most):
+    """A passage in unlike surroundings, and copies that differ in single bytes."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    base, passage, rows = noise(1500), noise(700), []
+    for i in range(12):
+        own = list(base)
+        for k in rng.choice(1500, 3, replace=False):
+            own[k] = "#"
+        rows += [(2 * i, "".join(own)), (2 * i + 1, noise(300) + passage + noise(300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    assert sorted(got(suffix_dedup(docs, most_contexts=most), *SUFFIX)) == sorted(brute.suffixes(rows))
+
+
 def test_suffix_sort_order():
     rng = np.random.default_rng(3)
     raw = rng.integers(97, 99, 3000).astype(np.uint8)

@@ -15,7 +15,10 @@ laid out with their anchors at multiples of 13, so both suffixes of a pair meet
 same distance. Neighbours that are equal throughout share a prefix of 400 bytes.
 
 An anchor of more than ``most_contexts`` different contexts would make a block too large. Its
-windows are counted instead by a 128-bit digest of their bytes, in a shuffled aggregation.
+contexts are cropped to ranges of offsets, and a bucket is named by the bytes that all windows of
+a range share, too: equal windows have them in common. Crops of near copies mostly become equal,
+and collapse, or part. What is still too large is a passage's edge; its windows are counted by a
+128-bit digest of their bytes, in a shuffled aggregation.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import small_enough, write_out
-from .substring import anchors_of, mix, rolling
+from .substring import anchors_of, leftmost_least, mix, rolling, with_lists
 
 WINDOW = 400
 GRAM = 32
@@ -39,6 +42,7 @@ COVER_MODULUS = 13
 COVER = (0, 1, 4, 6)  # every difference modulo 13 occurs in it
 BLOCK_BYTES = 2 << 20
 MOST_CONTEXTS = 2048
+RANGES = 12  # of offsets, for the crops of an anchor with more contexts
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _GRAM_BASE = 0x9E3779B97F4A7C15
 _DIGEST_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -48,36 +52,24 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return rolling(_BYTE_HASH[data], gram, _GRAM_BASE)
 
 
-def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost smallest of each ``width`` consecutive values."""
-    at = np.arange(len(values), dtype=np.int64)
-
-    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(values[a] <= values[b], a, b)
-
-    size = 1
-    while 2 * size <= width:
-        at, size = better(at[:-size], at[size:]), 2 * size
-    return better(at[: len(at) - (width - size)], at[width - size :]) if width > size else at
-
-
 def anchor_entries(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """hash, doc_id for each anchor of (doc_id, text)."""
+    """hash, doc_id, times for each different anchor of each row of (doc_id, text)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            hashes, ids, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 data = np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
                 if len(data) < window:
                     continue
                 grams = gram_hashes(data, gram)
-                at = anchors_of(grams, window - gram + 1)
-                hashes.append(grams[at])
-                ids.append(np.full(len(at), doc, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids))], ["hash", "doc_id"])
+                own, n = np.unique(grams[anchors_of(grams, window - gram + 1)], return_counts=True)
+                hashes.append(own)
+                times.append(n)
+                ids.append(np.full(len(own), doc, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(times))], ["hash", "doc_id", "times"])
 
-    return docs.mapInArrow(found, "hash long, doc_id long")
+    return docs.mapInArrow(found, "hash long, doc_id long, times long")
 
 
 _CONTEXT = "hash long, high long, low long, anchor int, windows int, doc_id long, start long, context binary"
@@ -264,24 +256,72 @@ def count_windows(several: DataFrame, window: int) -> DataFrame:
     return windows.join(again, ["one", "two"]).select("high", "low", "first", F.col("first").alias("last"))
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+_CROP = "hash long, high long, low long, anchor int, windows int, context binary, up_high long, up_low long, shift int"
+
+
+def crop(large: DataFrame, window: int, gram: int, ranges: int) -> DataFrame:
+    """A row for each context and range of offsets that it has windows in; shift: the crop's first window in the context."""
+    most = window - gram
+    wide = -(-(most + 1) // ranges)
+    names = [x.split()[0] for x in _CROP.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+
+    def cropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held = [], 0
+            for key, high, low, a, body in zip(*(b.column(c).to_pylist() for c in ("hash", "high", "low", "anchor", "context")), strict=True):
+                for r in range(ranges):
+                    least, largest = r * wide, min((r + 1) * wide - 1, most)
+                    first, last = max(0, a - largest), min(len(body) - window, a - least)
+                    if first > last:
+                        continue
+                    own = body[first : last + window]
+                    core = xxhash.xxh3_64_intdigest(body[a - least : a - largest + window], seed=r) ^ (key & 0xFFFFFFFFFFFFFFFF)
+                    digest = xxhash.xxh3_128_digest(own, seed=(a - first) * ranges + r)
+                    two = (int.from_bytes(digest[i : i + 8], "big", signed=True) for i in (0, 8))
+                    rows.append((core - (1 << 64) if core >> 63 else core, *two, a - first, last - first + 1, own, high, low, first))
+                    held += len(own)
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return large.mapInArrow(cropped, _CROP)
+
+
+def distinct_contexts(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs of contexts that occur twice; and the distinct contexts of anchors with several, with their number ``kinds``."""
+    kinds = write_out(cut.groupBy("hash", "high", "low", "windows").agg(F.count("*").alias("n")), "suffix-kinds")
+    by_anchor = write_out(kinds.groupBy("hash").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-several")
+    several = cut.join(by_anchor, "hash").groupBy("hash", "high", "low", "anchor", "context", "kinds").agg(F.count("*").alias("n")).drop("n")
+    whole = kinds.filter("n > 1").select("high", "low", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
+    return whole, write_out(several, "suffix-several")
+
+
+def runs_of_large(large: DataFrame, window: int, gram: int, block_bytes: int, most_contexts: int, ranges: int) -> DataFrame:
+    """high, low, first, last for the contexts of anchors that have too many for a block."""
+    crops = write_out(crop(large, window, gram, ranges), "suffix-crops")
+    whole, several = distinct_contexts(crops.drop("up_high", "up_low", "shift"))
+    runs = whole.union(sort_blocks(several.filter(F.col("kinds") <= most_contexts), window, block_bytes)).union(count_windows(several.filter(F.col("kinds") > most_contexts), window))
+    back = crops.select("high", "low", "up_high", "up_low", "shift").join(runs, ["high", "low"])
+    return back.select(F.col("up_high").alias("high"), F.col("up_low").alias("low"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+
+
+def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, most_contexts: int = MOST_CONTEXTS, ranges: int = RANGES) -> DataFrame:
     """doc_id, spans: runs (first and last place) of windows that also start anywhere else. ids of ``texts`` are unique and not null."""
     entries = write_out(anchor_entries(texts, window, gram), "suffix-anchors")
-    again = entries.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    per_doc = write_out(entries.join(again, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "suffix-hashes")
+    # written first, so that AQE may split the join by skew
+    again = write_out(entries.groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1").select("hash"), "suffix-again")
+    per_doc = write_out(entries.select("hash", "doc_id").join(again, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "suffix-hashes")
     ids = per_doc.select("doc_id")
     meeting = texts.join(small_enough(ids), "doc_id", "left_semi").join(per_doc, "doc_id")
     cut = write_out(contexts(meeting.select("doc_id", "text", "hashes"), window, gram), "suffix-contexts")
 
-    occurrences = cut.groupBy("hash", "high", "low", "windows").agg(F.count("*").alias("n"))
-    kinds = write_out(occurrences, "suffix-kinds")
-    by_anchor = kinds.groupBy("hash").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = cut.join(by_anchor, "hash").groupBy("hash", "high", "low", "anchor", "context", "kinds").agg(F.count("*").alias("n")).drop("n")
-    several = write_out(several, "suffix-several")
-    whole = kinds.filter("n > 1").select("high", "low", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
+    whole, several = distinct_contexts(cut.select("hash", "high", "low", "anchor", "windows", "context"))
     sorted_runs = sort_blocks(several.filter(F.col("kinds") <= most_contexts), window, block_bytes)
-    counted = count_windows(several.filter(F.col("kinds") > most_contexts), window)
-    runs = write_out(whole.union(sorted_runs).union(counted), "suffix-runs")
+    large = runs_of_large(several.filter(F.col("kinds") > most_contexts), window, gram, block_bytes, most_contexts, ranges)
+    runs = write_out(whole.union(sorted_runs).union(large), "suffix-runs")
 
     placed = cut.select("high", "low", "doc_id", "start").join(runs, ["high", "low"])
     span = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
@@ -333,4 +373,4 @@ def suffix_dedup(
             columns = list(zip(*out, strict=True)) or [()] * (4 + with_text)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), *([b.column("row")] if with_row else [])], names)
 
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *["row"] * with_row).mapInArrow(kept, schema)
+    return with_lists(rows, write_out(spans, "suffix-spans"), "spans").select("doc_id", "text", "spans", *["row"] * with_row).mapInArrow(kept, schema)
