@@ -171,7 +171,7 @@ class WindowIndex:
     def compact(self) -> None:
         """Merge all runs into one if there are ``fan_in`` or more."""
         if len(self.runs) >= self.fan_in:
-            self.runs = [self._write(self.read(self.runs).repartition("hash"))]
+            self.runs = [self._write(self.read(self.runs).repartitionByRange("hash", "doc_id", "place"))]  # a hot hash may span files
 
 
 def _texts_with(texts: DataFrame, lists: DataFrame) -> DataFrame:
