@@ -32,7 +32,7 @@ from .substring import mix
 SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 256
-SEGMENTS = 21
+SEGMENTS = 32
 LEAST_EXACT = 12
 BLOCK = 1024
 _SEEDS = (0, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -148,8 +148,12 @@ def links_of_small(shared: DataFrame, most: int) -> DataFrame:
 
 
 def links_to_leaders(large: DataFrame, most: int) -> DataFrame:
-    """Each member of a large bucket with one of them, drawn by hash, if they are near."""
-    leaders = large.groupBy("key").agg(F.min_by(F.struct("node", *_PLACES), F.xxhash64("node", "key")).alias("l"))
+    """Each member of a large bucket with that of the smallest hash, if they are near.
+
+    The hash is the same in all buckets, so a group that shares many of them has few leaders, and
+    a member few different links.
+    """
+    leaders = large.groupBy("key").agg(F.min_by(F.struct("node", *_PLACES), F.xxhash64("node")).alias("l"))
     leaders = write_out(leaders.select("key", F.col("l.node").alias("lead"), *(F.col(f"l.{c}").alias(f"l{c}") for c in _PLACES)), "similar-leaders")
     bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{c}"))) for c in _PLACES[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
     return large.join(leaders, "key").filter((F.col("node") != F.col("lead")) & (bits <= most)).select(F.col("node").alias("a"), F.col("lead").alias("b"))
@@ -186,7 +190,7 @@ def links_of_odd(large: DataFrame, roots: DataFrame, most: int, block: int) -> D
 def links(classes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """a, b: links between classes, enough of them for every component. classes: (node, f0…f3), written out."""
     most = most_bits(similarity)
-    exact = max(LEAST_EXACT, math.ceil(math.log2(max(2, classes.count()))) - 6)
+    exact = max(LEAST_EXACT, math.ceil(math.log2(max(2, classes.count()))) - 3)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
