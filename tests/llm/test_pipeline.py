@@ -122,3 +122,18 @@ def test_stages_keep_columns_and_bear_nulls(spark, nulls):
         out.collect()
         assert stage(spark, docs.limit(0), "").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "near dedup", "suffix-array dedup", "best-fit packing"]
+
+
+def test_recall_of_keys_at_any_size():
+    """Of pairs at a similarity of 0.8 all but one in ten thousand share a key, however many documents there are: keys don't depend on their number."""
+    hit, close = 0, 0
+    for k in range(300):
+        base = text(k, 300, f"q{k}w").split()
+        # each replaced word changes five shingles: 6 of 300 words give a similarity of about 0.82
+        other = edited(" ".join(base), *range(20 + k % 7, 290, 46))
+        a, b = (similar.shingle_hashes(t, 5) for t in (" ".join(base), other))
+        jaccard = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+        close += 0.8 <= jaccard < 0.85
+        hit += bool(set(similar.band_keys(a).tolist()) & set(similar.band_keys(b).tolist()))
+    assert close == 300
+    assert hit == 300
