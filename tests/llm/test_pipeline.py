@@ -137,3 +137,36 @@ def test_recall_of_keys_at_any_size():
         hit += bool(set(similar.band_keys(a).tolist()) & set(similar.band_keys(b).tolist()))
     assert close == 300
     assert hit == 300
+
+
+def shingles(t, n=5):
+    words = (t or "").lower().split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_links_need_the_similarity(spark, block):
+    """Components are those of the true similarity of 0.8 over all pairs from 0.6 to 0.95, and none below links."""
+    rng, rows = np.random.default_rng(1), []
+    for k in range(60):
+        base = text(k, 300, f"p{k}w")
+        rows += [(10 * k, base)] + [(10 * k + i, edited(base, *rng.choice(300, n, replace=False).tolist())) for i, n in enumerate(rng.integers(2, 16, 3).tolist(), 1)]
+    own = {d: shingles(t) for d, t in rows}
+    label, sims = {d: d for d, _ in rows}, []
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in own:
+        for b in own:
+            if a < b and a // 10 == b // 10:
+                sims.append(len(own[a] & own[b]) / len(own[a] | own[b]))
+                if sims[-1] >= 0.8:
+                    x, y = sorted((find(a), find(b)))
+                    label[y] = x
+    assert sum(0.6 <= s < 0.8 for s in sims) > 50 and sum(0.8 <= s < 0.95 for s in sims) > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in similar.similar_dedup(docs, block=block).collect()}
+    assert found == {d: find(d) for d, _ in rows}

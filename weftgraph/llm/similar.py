@@ -1,19 +1,22 @@
-"""Near-dedup at a stated similarity: MinHash keys, wide SimHash fingerprints, join and verify.
+"""Near-dedup at a stated similarity: MinHash keys, join, and verification by the shingles themselves.
 
-Two bits of 64 are too strict for texts whose word shingles agree to four fifths: there about 15 of
-100 bits differ. So a fingerprint here has 256 bits, made of four hashes of each shingle, and is
-compared by the number of differing bits.
+The similarity of two texts is that of their sets of word shingles, which are held as sorted 64-bit
+hashes: shared shingles over all shingles of both. Texts with equal sets are one class.
 
-Candidates come from MinHash keys of the same shingles: a key is the hash of ``ROWS`` minima, and a
+Candidates come from MinHash keys of the shingles: a key is the hash of ``ROWS`` minima, and a
 document has ``BANDS`` of them. Two documents of similarity s share one with the probability
 1 - (1 - s^6)^32, which is 0.99994 at 0.8 and doesn't depend on the number of documents. Keys have
 64 bits, so documents without common shingles meet by chance in a corpus of no practical size.
 
-Candidates are verified by the number of differing bits. A bucket of up to ``block`` members is
-compared as one group, which gives at most one link for each member, enough for its components.
-The members of a larger one are first held against one of them. Mostly that joins nearly all into
-one component; those outside of it are then compared with all members, block by block. So a group
-of near copies costs rows in proportion to its size, and still no link between components is lost.
+Every candidate is confirmed by its similarity before it is a link. Buckets with the same members
+are looked at once. A bucket of up to ``block`` members is compared as one group, which gives at
+most one link for each member, enough for its components. The members of a larger one are first
+held against one of them. Mostly that joins nearly all into one component; those outside of it are
+then compared with all members, block by block. So a group of near copies costs rows in proportion
+to its size, and still no link between components is lost.
+
+``wide_print`` and ``wide_keys`` are the fingerprints of 256 bits and Golay keys that tests compare
+the stage with; the stage itself doesn't use them.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +45,7 @@ BLOCK = 1024
 _SEEDS = (0, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SCALES, _SHIFTS = (mix(np.arange(i, i + ROWS * BANDS, dtype=np.uint64) * np.uint64(_SEEDS[1])) | np.uint64(1) for i in (1, 1 << 20))
 _FLIPS = np.array([0, *(1 << i for i in range(23))], dtype=np.int32)
-_PLACES = ["f0", "f1", "f2", "f3"]
+_CLASS = ["d0", "d1"]
 
 
 def most_bits(similarity: float) -> int:
@@ -56,6 +60,11 @@ def wide_print(text: str | None, shingle: int = SHINGLE) -> list[int]:
     return [fingerprint(mix(hashes ^ np.uint64(s)).astype("<u8") if s else hashes) for s in _SEEDS]
 
 
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The different word shingles of a text as sorted hashes."""
+    return np.unique(shingle_hashes(text, shingle)).astype("<u8")
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """The MinHash key of each band; none without shingles."""
     if not len(hashes):
@@ -87,134 +96,182 @@ def wide_keys(prints: np.ndarray, exact: int, segments: int = SEGMENTS) -> tuple
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= most
+def overlaps(held: list[np.ndarray]):
+    """A function of a member's number that gives the similarity of its set to each of the sets held; none may be empty."""
+    sizes = np.array([len(h) for h in held])
+    ends = np.cumsum(sizes)
+    found, codes = np.unique(np.concatenate(held), return_inverse=True)
+
+    def similarity(k: int) -> np.ndarray:
+        mark = np.zeros(len(found), dtype=bool)
+        mark[codes[ends[k] - sizes[k] : ends[k]]] = True
+        shared = np.add.reduceat(mark[codes], ends - sizes, dtype=np.int64)
+        return shared / (sizes + sizes[k] - shared)
 
+    return similarity
 
-def group_links(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+
+def group_links(nodes: np.ndarray, held: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """At most one link for each member, enough for the group's components."""
-    n = len(nodes)
-    label = np.arange(n)
-    waiting = np.ones(n, dtype=bool)
+    similarity = overlaps(held)
+    waiting = np.ones(len(nodes), dtype=bool)
     out = []
-    for i in range(n):
-        if label[i] != i:
+    for i in range(len(nodes)):
+        if not waiting[i]:
             continue
         # grow the component of i breadth-first over those that aren't placed yet
         front = [i]
         waiting[i] = False
-        while front:
+        while front and waiting.any():
             k = front.pop()
-            rest = np.flatnonzero(waiting)
-            if not len(rest):
-                break
-            hit = rest[_near(prints[rest], prints[k], most)]
+            hit = np.flatnonzero(waiting & (similarity(k) >= least))
             waiting[hit] = False
-            label[hit] = i
             front += hit.tolist()
             out += [(int(nodes[k]), int(nodes[h])) for h in hit]
-        if not waiting.any():
-            break
     return out
 
 
-def cross_links(nodes: np.ndarray, labels: np.ndarray, prints: np.ndarray, odd: np.ndarray, most: int) -> list[tuple[int, int]]:
+def cross_links(nodes: np.ndarray, labels: np.ndarray, held: list[np.ndarray], odd: np.ndarray, least: float) -> list[tuple[int, int]]:
     """For each odd member a link to each component that it is near to."""
+    similarity = overlaps(held)
     out = []
     for k in np.flatnonzero(odd):
-        hit = np.flatnonzero((labels != labels[k]) & _near(prints, prints[k], most))
+        hit = np.flatnonzero((labels != labels[k]) & (similarity(k) >= least))
         first = np.unique(labels[hit], return_index=True)[1]
         out += [(int(nodes[k]), int(nodes[h])) for h in hit[first]]
     return out
 
 
-def _grouped(held: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.StructArray, np.ndarray]:
-    """Offsets, nodes, all members and their fingerprints of a column of member lists."""
-    ends, flat = held.offsets.to_numpy(), held.values
-    prints = np.stack([flat.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _PLACES], axis=1)
-    return ends, flat.field("node").to_numpy(zero_copy_only=False), flat, prints
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of ``group``, by which the batches are sorted."""
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        own = b.column("group").to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for a, z in zip(bounds, bounds[1:], strict=False):
+            if waiting and waiting[0].column("group")[0].as_py() != own[a]:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            waiting.append(b.slice(a, z - a))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8") for x in column.to_pylist()]
 
 
 _LINK = "a long, b long"
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _batch(parts: list[np.ndarray], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     two = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([parts[i], two[:, i]])) for i in (0, 1)], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(two[:, i])) for i in (0, 1)], ["a", "b"])
 
 
-def links_of_small(shared: DataFrame, most: int) -> DataFrame:
-    """Links within buckets that are one group each."""
+def _linked_in_groups(rows: DataFrame, of_group) -> DataFrame:
+    """Links that ``of_group`` finds among the rows of each ``group``; groups are streamed, one at a time in memory."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends, nodes, _, prints = _grouped(b.column("held"))
-            sizes, pairs = np.diff(ends), []
-            two = ends[:-1][sizes == 2]
-            two = two[_near(prints[two], prints[two + 1], most)]
-            for a, z in zip(ends[:-1][sizes > 2].tolist(), ends[1:][sizes > 2].tolist(), strict=True):
-                pairs += group_links(nodes[a:z], prints[a:z], most)
-            yield _batch([nodes[two], nodes[two + 1]], pairs)
+        pairs: list[tuple[int, int]] = []
+        for group in _groups(batches):
+            pairs += of_group(group)
+            if len(pairs) >= 4096:
+                yield _batch(pairs)
+                pairs = []
+        yield _batch(pairs)
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(linked, _LINK)
+
+
+def links_of_small(small: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links within buckets that are one group each."""
 
-    groups = shared.groupBy("key").agg(F.collect_list(F.struct("node", *_PLACES)).alias("held")).filter(F.size("held") > 1)
-    return groups.select("held").mapInArrow(linked, _LINK)
+    def of_group(group: pa.Table) -> list[tuple[int, int]]:
+        return group_links(group["node"].to_numpy(), _sets(group["held"]), least)
 
+    return _linked_in_groups(small.select(F.col("key").alias("group"), "node").join(sets, "node").select("group", "node", "held"), of_group)
 
-def links_to_leaders(large: DataFrame, most: int) -> DataFrame:
+
+def links_to_leaders(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Each member of a large bucket with that of the smallest hash, if they are near.
 
     The hash is the same in all buckets, so a group that shares many of them has few leaders, and
-    a member few different links.
+    a member few different pairs.
     """
-    leaders = large.groupBy("key").agg(F.min_by(F.struct("node", *_PLACES), F.xxhash64("node")).alias("l"))
-    leaders = write_out(leaders.select("key", F.col("l.node").alias("lead"), *(F.col(f"l.{c}").alias(f"l{c}") for c in _PLACES)), "similar-leaders")
-    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{c}"))) for c in _PLACES[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("lf0"))))
-    return large.join(leaders, "key").filter((F.col("node") != F.col("lead")) & (bits <= most)).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column("held").to_pylist(), b.column("lead_held").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared / (len(x) + len(y) - shared) >= least)
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    pairs = large.filter(F.col("node") != F.col("lead")).select("node", "lead").distinct()
+    pairs = write_out(pairs.join(sets, "node").select(F.col("node").alias("a"), F.col("lead").alias("b"), "held"), "similar-pairs")
+    return pairs.join(sets.select(F.col("node").alias("b"), F.col("held").alias("lead_held")), "b").select("a", "b", "held", "lead_held").mapInArrow(confirmed, _LINK)
 
 
-def links_of_odd(large: DataFrame, roots: DataFrame, most: int, block: int) -> DataFrame:
+def links_of_odd(large: DataFrame, sets: DataFrame, roots: DataFrame, least: float, block: int) -> DataFrame:
     """Links of the members outside of their bucket's largest component with all others of the bucket."""
-    labelled = write_out(large.join(roots, "node", "left").select("key", "n", "node", *_PLACES, F.coalesce("root", "node").alias("label")), "similar-labelled")
+    labelled = write_out(large.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("label")), "similar-labelled")
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("held"))
     top = counts.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("top"), F.max("held").alias("most"))
     marked = labelled.join(write_out(top, "similar-top"), "key").filter(F.col("most") < F.col("n"))
     odd = F.col("label") != F.col("top")
     blocks, odd_blocks = F.ceil(F.col("n") / block), F.ceil((F.col("n") - F.col("most")) / block)
     own = lambda count: F.pmod(F.xxhash64("node", "key"), count)
-    member = F.struct("node", "label", *_PLACES, odd.alias("odd"))
     every = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
     # group (i, j): odd members of part i, all members of part j
-    first = marked.filter(odd).select("key", own(odd_blocks).alias("i"), F.explode(every(blocks)).alias("j"), member.alias("m"), F.lit(True).alias("asks"))
-    second = marked.select("key", F.explode(every(odd_blocks)).alias("i"), own(blocks).alias("j"), member.alias("m"), F.lit(False).alias("asks"))
-    groups = first.unionByName(second).groupBy("key", "i", "j").agg(F.collect_list(F.struct("m.node", "m.label", *(f"m.{c}" for c in _PLACES), "asks")).alias("held"))
+    first = marked.filter(odd).select("key", own(odd_blocks).alias("i"), F.explode(every(blocks)).alias("j"), "node", "label", F.lit(True).alias("asks"))
+    second = marked.select("key", F.explode(every(odd_blocks)).alias("i"), own(blocks).alias("j"), "node", "label", F.lit(False).alias("asks"))
+    both = first.unionByName(second).select(F.xxhash64("key", "i", "j").alias("group"), "node", "label", "asks")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_group(group: pa.Table) -> list[tuple[int, int]]:
+        return cross_links(group["node"].to_numpy(), group["label"].to_numpy(), _sets(group["held"]), group["asks"].to_numpy(), least)
+
+    return _linked_in_groups(both.join(sets, "node").select("group", "node", "label", "asks", "held"), of_group)
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node, held: the shingles of the wanted classes (node, d0, d1), made again from one text of each, so that no table holds those of all texts."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends, nodes, flat, prints = _grouped(b.column("held"))
-            labels, asks = flat.field("label").to_numpy(zero_copy_only=False), flat.field("asks").to_numpy(zero_copy_only=False)
-            none, pairs = np.empty(0, dtype=np.int64), []
-            for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                pairs += cross_links(nodes[a:z], labels[a:z], prints[a:z], asks[a:z], most)
-            yield _batch([none, none], pairs)
-
-    return groups.select("held").mapInArrow(linked, _LINK)
-
-
-def links(classes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """a, b: links between classes, enough of them for every component. classes: (node, f0…f3, keys), written out."""
-    most = most_bits(similarity)
-    keys = write_out(classes.select(F.explode("keys").alias("key"), "node").distinct(), "similar-keys")
-    sizes = write_out(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "similar-sizes")
-    shared = write_out(keys.join(sizes, "key").join(classes, "node").select("key", "n", "node", *_PLACES), "similar-shared")
+            raws = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
+            own = [xxhash.xxh3_128_digest(r) == np.array(d, dtype="<i8").tobytes() for r, d in zip(raws, zip(*(b.column(c).to_pylist() for c in _CLASS), strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(raws, pa.binary())], ["node", "held"]).filter(pa.array(own, pa.bool_()))
+
+    one = texts.withColumnRenamed("doc_id", "node").join(wanted, "node").dropDuplicates(["node", *_CLASS, "text"])
+    return one.mapInArrow(made, "node long, held binary")
+
+
+def links(texts: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """a, b: links between classes, enough of them for every component.
+
+    texts: (doc_id, text); classes: (node, d0, d1, keys), written out.
+    """
+    keys = write_out(classes.select(F.explode("keys").alias("key"), "node", "d0"), "similar-keys")
+    # buckets with the same members have the same count and digests; one of them stays
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("d0").alias("x"), F.bit_xor(F.xxhash64("d0")).alias("y"), F.min_by("node", F.xxhash64("node")).alias("lead"))
+    sizes = sizes.filter("n > 1").groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "lead"), "key").alias("k"))
+    sizes = write_out(sizes.select("k.key", "n", "k.lead"), "similar-sizes")
+    shared = write_out(keys.join(sizes, "key").select("key", "n", "lead", "node"), "similar-shared")
     forget(keys, sizes)
+    wanted = shared.select("node").distinct().join(classes.select("node", *_CLASS), "node")
+    sets = write_out(sets_of(texts, wanted, shingle), "similar-sets")
     large = shared.filter(F.col("n") > block)
-    found = links_of_small(shared.filter(F.col("n") <= block), most).unionByName(links_to_leaders(large, most))
+    found = links_of_small(shared.filter(F.col("n") <= block), sets, similarity).unionByName(links_to_leaders(large, sets, similarity))
     found = write_out(_ordered(found), "similar-links")
-    odd = links_of_odd(large, components(found), most, block)
+    odd = links_of_odd(large, sets, components(found), similarity, block)
     return _ordered(found.unionByName(odd))
 
 
@@ -228,18 +285,23 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            found = np.array([wide_print(t, shingle) for t in texts], dtype="<u8").reshape(-1, 4).view("<i8")
-            keys = pa.array([band_keys(shingle_hashes(t, shingle)).view("<i8") for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(4)), keys], ["doc_id", *_PLACES, "keys"])
+            digests, keys = [], []
+            for text in b.column("text"):
+                own = shingle_set(text.as_py(), shingle)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                keys.append(band_keys(own).view("<i8"))
+            two = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            columns = [*(pa.array(np.ascontiguousarray(two[:, i])) for i in (0, 1)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *_CLASS, "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = write_out(rows.mapInArrow(printed, "doc_id long, " + ", ".join(f"{c} long" for c in _PLACES) + ", keys array<long>"), "similar-prints")
+    prints = write_out(rows.mapInArrow(printed, "doc_id long, d0 long, d1 long, keys array<long>"), "similar-prints")
     named = prints.filter("doc_id is not null")
-    classes = write_out(named.groupBy(*_PLACES).agg(F.min("doc_id").alias("node"), F.flatten(F.collect_set("keys")).alias("keys")).select("node", *_PLACES, "keys"), "similar-classes")
-    linked = write_out(links(classes, similarity, block), "similar-links")
+    classes = named.groupBy(*_CLASS).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    classes = write_out(classes.select("node", *_CLASS, "keys"), "similar-classes")
+    linked = write_out(links(rows, classes, shingle, similarity, block), "similar-links")
     degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = classes.join(components(linked), "node", "left").join(degree, "node", "left")
-    placed = placed.select(*_PLACES, F.coalesce("root", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    placed = placed.select(*_CLASS, F.coalesce("root", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     alone = prints.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return named.join(placed, _PLACES).select("doc_id", "component_id", "n_links").unionByName(alone)
+    return named.join(placed, _CLASS).select("doc_id", "component_id", "n_links").unionByName(alone)
