@@ -170,3 +170,26 @@ def test_links_need_the_similarity(spark, block):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in similar.similar_dedup(docs, block=block).collect()}
     assert found == {d: find(d) for d, _ in rows}
+
+
+def test_near_duplicates_against_true_similarity(spark, rows, near_rows):
+    """The stage keeps the smallest id of each component of the true similarity; a text and four fifths of it (0.74) both stay."""
+    table = [(d, t) for d, t in [*rows, *((1000 + d, t) for d, t in near_rows)]]
+    own = {d: shingles(t) for d, t in table}
+    label = {d: d for d, _ in table}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in own:
+        for b in own:
+            if a < b and (own[a] == own[b] or len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    found = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert found == {d for d in own if find(d) == d}
+    whole, part = (next(d for d, t in table if t == x) for x in (text(9), text(9, 60)))
+    assert {whole, part} <= found
