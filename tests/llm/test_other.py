@@ -286,3 +286,13 @@ def test_bpe_nulls_and_empty(nulls, empty):
     args = tokenizer("byte_bpe_multi_50k.tiktoken")
     assert bpe.encode_texts(empty, *args).count() == 0
     assert [r.n_tokens for r in bpe.encode_texts(nulls, *args).collect()].count(0) == 2
+
+
+def test_added_tokens_in_texts():
+    """A text that holds an added token gets the ids of tokenizers in its default setting, in long texts too."""
+    path, pattern = tokenizer("byte_bpe_50k.json")
+    codec, t = bpe.encoding(path, pattern), Tokenizer.from_file(path)
+    for x in ("<|endoftext|> x", "a<|endoftext|>b", "one <|endoftext|>  two\n<|endoftext|>", "plain", "word <|endoftext|> " * 40):
+        want = t.encode(x, add_special_tokens=False).ids
+        assert bpe.encode(codec, x).tolist() == want
+        assert bpe.encode(codec, x, long=50).tolist() == want

@@ -37,8 +37,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a JSON vocabulary, which its library finds in texts; none in a .tiktoken file."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as source:
+        return {t["content"]: t["id"] for t in json.load(source)["added_tokens"]}
+
+
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding(path.rpartition("/")[2], pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    return tiktoken.Encoding(path.rpartition("/")[2], pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens=added_tokens(path))
 
 
 def safe_pieces(text: str, long: int = LONG) -> Iterator[str]:
@@ -54,10 +62,11 @@ def safe_pieces(text: str, long: int = LONG) -> Iterator[str]:
 
 
 def encode(codec: tiktoken.Encoding, text: str, long: int = LONG) -> np.ndarray:
-    """Ids as little-endian unsigned 32-bit integers, without special tokens."""
+    """Ids as little-endian unsigned 32-bit integers; added tokens of the vocabulary that stand in the text are found as such."""
+    whole = (lambda x: codec.encode(x, allowed_special="all")) if codec.special_tokens_set else codec.encode_ordinary
     if len(text) <= long:
-        return np.array(codec.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.array(codec.encode_ordinary(x), dtype="<u4") for x in safe_pieces(text, long)])
+        return np.array(whole(text), dtype="<u4")
+    return np.concatenate([np.array(whole(x), dtype="<u4") for x in safe_pieces(text, long)])
 
 
 def decode(codec: tiktoken.Encoding, ids: np.ndarray) -> bytes:
