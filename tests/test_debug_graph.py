@@ -140,3 +140,19 @@ def test_clusters_close(spark):
     held = lambda n: {r.id: r.cluster for r in cluster.greedy_clusters(pairs, sets, n).collect()}
     assert len(set(held(2).values())) == 2
     assert len(set(held(16).values())) == 1
+
+
+def test_second_level_closes_at_128(spark):
+    """Twenty equal clusters become one, 140 don't; pairs below a similarity of 0.2 don't join."""
+    from types import SimpleNamespace
+
+    from weftgraph.queries.clustering import greedy_second
+
+    def tops(near):
+        edges = spark.createDataFrame([(s, d) for d, held in near.items() for s in held], "src long, dst long")
+        first = spark.createDataFrame([(d, d) for d in near], "id long, cluster long")
+        return {r.id: r.cluster for r in greedy_second(SimpleNamespace(edges=edges), first).collect()}
+
+    assert len(set(tops({d: [0, 1] for d in range(20)}).values())) == 1
+    assert len(set(tops({d: [0, 1] for d in range(140)}).values())) > 1
+    assert len(set(tops({1: [0, 1, 2, 3], 2: [3, 4, 5, 6]}).values())) == 2

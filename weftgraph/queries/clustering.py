@@ -39,7 +39,7 @@ def greedy_second(g: Graph, first: DataFrame | None = None) -> DataFrame:
     joined = cluster.cluster_sets(g.edges, first)
     edges = joined.select(F.col("nb").alias("src"), F.col("cluster").alias("dst"))
     held = joined.groupBy(F.col("cluster").alias("id")).agg(F.collect_list("nb").alias("held"))
-    return cluster.greedy_clusters(cluster.jaccard(edges).filter(F.col("sim") >= 0.1).select("a", "b", "sim"), held, 8)
+    return cluster.greedy_clusters(cluster.jaccard(edges).filter(F.col("sim") >= 0.2).select("a", "b", "sim"), held, 128)
 
 
 def order(g: Graph) -> DataFrame:
