@@ -8,7 +8,8 @@ from tests.llm import brute
 from tests.llm.conftest import text
 from weftgraph.llm import simhash, substring, suffix
 from weftgraph.llm.components import components
-from weftgraph.llm.exact import build_directory, exact_dedup
+from weftgraph.llm.exact import build_directory, chains, depth_for, exact_dedup
+from weftgraph.llm.shared import is_small, settings, shared_folder, write_out
 from weftgraph.llm.simhash import near_dedup
 from weftgraph.llm.substring import WindowIndex, substring_dedup
 from weftgraph.llm.suffix import suffix_dedup
@@ -105,6 +106,45 @@ def test_directory():
     assert build_directory({}, 10, 8) == (0, {0: 1})
 
 
+def test_directory_deepens_with_the_keys():
+    assert depth_for(10, 100) == 4 and depth_for(10**9, 100_000) == 18 and depth_for(10**13, 100_000) == 31
+    rng = np.random.default_rng(1)
+    deepest = depth_for(200_000, 100)
+    prefixes, counts = np.unique(rng.integers(0, 1 << deepest, 200_000), return_counts=True)
+    histogram = dict(zip(prefixes.tolist(), counts.tolist(), strict=True))
+    depth, directory = build_directory(histogram, 100, deepest)
+    held: dict[int, int] = {}
+    for p, n in histogram.items():
+        held[directory[p >> (deepest - depth)]] = held.get(directory[p >> (deepest - depth)], 0) + n
+    assert 10 < depth < deepest and max(held.values()) <= 100
+
+
+def test_owners_take_ranges_of_buckets(spark):
+    """Chains of a key lie in one partition, in ranges; a hot text comes as one row of each task."""
+    rows = [(b, 10 * b + k, f"text {k}" if i else "hot", 100 * b + i) for b in range(8) for k in range(2) for i in range(5)]
+    several = spark.createDataFrame(rows, "bucket long, k long, body string, doc_id long").repartition(3)
+    found = chains(several)
+    assert {(r.bucket, r.k, r.sha, r.keep_id, r.group_size) for r in found.collect()} == {
+        (b, 10 * b + k, brute.sha256(t.encode()), 100 * b + (0 if t == "hot" else 4), n) for b in range(8) for k in range(2) for t, n in (("hot", 1), (f"text {k}", 4))
+    }
+    top = next(line for line in plan_of(found).split("\n") if "Exchange" in line)  # what the last aggregation reads
+    assert "rangepartitioning(bucket" in top
+
+
+def test_small_tables_are_measured(spark):
+    table = write_out(spark.createDataFrame([(1, "x" * 1000)] * 20, "a long, b string"), "sizes")
+    assert is_small(table, 30_000) and not is_small(table, 20_000) and is_small(table.select("a"), 500)
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Far)
+
+
 def test_exact_nulls_and_empty(nulls, empty):
     assert exact_dedup(empty).count() == 0
     found = got(exact_dedup(nulls), *EXACT)
@@ -117,24 +157,53 @@ def test_exact_nulls_and_empty(nulls, empty):
 SUB = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@pytest.mark.parametrize("batches", [1, 2, 3])
+@pytest.mark.parametrize("batches", [1, 3])
 def test_substrings(docs, rows, batches):
     assert set(got(substring_dedup(docs, batches=batches), *SUB)) == brute.substrings(rows)
 
 
 def test_substring_index_grows_between_calls(spark, docs, rows):
-    """A later batch is held against the runs of an earlier call's index."""
+    """A later batch is held against the merged runs of earlier ones."""
+    index = WindowIndex(spark, fan_in=2)
+    ids = [d for d, _ in rows]
+    bounds = [0, ids[len(ids) // 3], ids[2 * len(ids) // 3], ids[-1] + 1]
+    parts = [substring.contexts(docs.select("doc_id", "text").filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)), 20, 8) for a, b in zip(bounds, bounds[1:])]
+    seen = []
+    for k, part in enumerate(parts):
+        found = index.add(part)
+        own = [r.hash for r in part.collect()]
+        again = {h for h in own if own.count(h) > 1 or h in seen}
+        assert sorted(r.hash for r in found.collect()) == sorted(h for h in seen + own if h in again)
+        seen += own
+        index.compact()
+        assert len(index.runs) == 1 and index.merges == k
+    counts = {r.hash: r.n for r in spark.table(index.runs[0]).collect()}
+    assert counts == {h: seen.count(h) for h in set(seen)}
+    index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("window_run")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_merged_as_they_lie(spark, docs):
+    """Neither an exchange nor a sort stands below the merge of two runs."""
+    index = WindowIndex(spark, fan_in=2)
+    found = substring.contexts(docs.select("doc_id", "text"), 20, 8)
+    index.add(found)
+    index.add(found)
+    with settings(spark, substring._SORTED):
+        plan = plan_of(index.run(index.runs[1]).join(index.run(index.runs[0]).withColumnRenamed("n", "m"), "hash", "left"))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    index.drop()
+
+
+def test_two_passes_of_the_index_are_read_by_later_batches(spark, docs, rows):
     index = WindowIndex(spark, fan_in=2)
-    half = rows[len(rows) // 2][0]
-    texts = docs.select("doc_id", "text")
-    index.add(substring.anchor_entries(texts.filter(F.col("doc_id") < half), 20, 8))
-    later = index.add(substring.anchor_entries(texts.filter(F.col("doc_id") >= half), 20, 8))
-    assert len(index.runs) == 2
-    index.compact()
-    assert len(index.runs) == 1 and index.read(index.runs).count() == sum(substring.anchor_entries(texts, 20, 8).count() for _ in range(1))
-    again = [r.hash for r in index.read(index.runs).groupBy("hash").count().filter("count > 1").collect()]
-    fresh = {r.hash for r in substring.anchor_entries(texts.filter(F.col("doc_id") >= half), 20, 8).collect()}
-    assert {r.hash for r in later.collect()} == set(again) & fresh
+    assert set(got(substring_dedup(docs, batches=4, index=index), *SUB)) == brute.substrings(rows)
+    assert index.merges == 2
+    index.drop()
 
 
 def test_substring_nulls_and_empty(nulls, empty):

@@ -107,6 +107,13 @@ def test_bad_host_is_rejected(spark):
     assert kept == {1000 + i for i in range(400) if i % 10} | {5000, 5002}
 
 
+def test_a_host_s_verdict_differs_from_the_base_rules(spark):
+    """Documents that pass the base rules go with a host of which nearly all fail."""
+    rows = [(i, text(i) if i % 20 == 0 else "no", "bad.com") for i in range(400)] + [(1000 + i, text(i), "good.com") for i in range(400)]
+    found = host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in found if not r.base_failed and not r.kept} == set(range(0, 400, 20))
+
+
 def test_prior_shrinks_small_hosts(spark):
     hosts = spark.createDataFrame([("a", 1000, 100), ("b", 1000, 140), ("c", 1, 1), ("d", 1000, 960)], "host string, n long, failed long")
     rate = {r.host: r.rate for r in host_verdicts(hosts).collect()}
@@ -169,6 +176,33 @@ def test_chunks_cover_all():
         assert bytes(flat[:n].astype(np.uint8)) == (bytes(range(256)) * 20)[:n] and (flat[n:] == quality.PAD).all()
 
 
+def test_repeated_ids_teach_once_and_long_texts_by_passages(spark):
+    rows = [(i % 20, text(i, 30), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(1000, text(1, 30_000))], "doc_id long, text string")
+    marks = spark.createDataFrame([(d, q) for d, _, q in rows[:20]] + [(1000, 1)], "doc_id long, quality int")
+    taken = []
+    real, quality.fit = quality.fit, lambda texts, *a: taken.extend(texts) or real(texts, *a)
+    try:
+        quality.fit_on(docs, marks, "doc_id", "text", "quality", 1000, 1, 1600)
+    finally:
+        quality.fit = real
+    whole = text(1, 30_000)
+    assert len(taken) <= 21 and sum(len(t) == 1600 for t in taken) <= 1
+    long = next((t.decode() for t in taken if len(t) == 1600), None)
+    assert long is None or (long[:100] == whole[:100] and long[-100:] == whole[-100:] and all(long[i : i + 100] in whole for i in range(0, 1600, 100)))
+
+
+def test_accuracy_on_real_labels(spark):
+    """On the marked documents that taught nothing."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out and quality in (0, 1)").toPandas()
+    good, bad = (found.score[found.quality == k].to_numpy() for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    assert (good[:, None] > bad[None, :]).mean() >= 0.9  # the area under the curve
+    assert (found.predicted == found.quality).mean() >= 0.85
+
+
 def test_classifier_without_labels(spark, marked, nulls, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.classify(marked, none).collect()} == {0.5}
@@ -193,6 +227,32 @@ def test_colliding_digests_are_told_apart(spark):
     assert set(got(filter_urls(pages, URL_RULES, hash_fn=same), "page_id", "host", "path", "rule", "verdict")) == {(i, *brute.url(u, URL_RULES)) for i, u in enumerate(URLS)}
 
 
+def test_hosts_of_very_many_labels(spark):
+    """A host of any length costs no more probes than rules have different lengths."""
+    index = DigestArray(write_index(spark, URL_RULES))
+    host = "a." * 200_000 + "net"
+    assert list(index.candidates(host, "/es/")) == ["net/", "net/es/"] or len(list(index.candidates(host, "/es/"))) <= 12
+    pages = spark.createDataFrame([(1, f"http://{host}/es/x"), (2, "http://" + "x" * 500_000 + ".com/" + "y" * 500_000)], "page_id long, url string")
+    assert sorted(got(filter_urls(pages, URL_RULES), "page_id", "rule", "verdict")) == [(1, "net/es/", "block"), (2, "com/", "allow")]
+
+
+def test_index_of_a_remote_folder_is_mapped_from_a_local_copy(spark, tmp_path, monkeypatch):
+    """Where the shared folder isn't a mounted one, Spark's copies are mapped."""
+    from weftgraph.llm import urls
+
+    class Remote:
+        type_name = "remote"
+
+    address = write_index(spark, URL_RULES, str(tmp_path / "far"))
+    for name in ("keys", "offsets", "blocked", "lengths", "strings"):
+        spark.sparkContext.addFile(urls.part_address(address, name))
+    real = urls.open_system
+    monkeypatch.setattr(urls, "open_system", lambda a: (Remote(), real(a)[1]))
+    index = DigestArray(address)
+    assert isinstance(index.keys, np.memmap) and not str(index.keys.filename).startswith(str(tmp_path))
+    assert index.judge([("q.net", "/es/1")]) == [("net/es/", True)]
+
+
 def test_long_prefixes_and_ties(spark, tmp_path):
     rules = [("block", "b.com/ad"), ("allow", "b.com/adm"), ("block", "a.b.com/"), ("block", "b.com/x")]
     index = DigestArray(write_index(spark, rules, str(tmp_path / "i")))
@@ -206,7 +266,6 @@ def test_long_prefixes_and_ties(spark, tmp_path):
 def test_packing(docs, rows):
     path, pattern = tokenizer("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = {d: t.encode(x or "", add_special_tokens=False).ids + [2] for d, x in rows}
     found = packing.pack(docs, path, pattern, with_ids=True)
     pieces = got(found, "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -220,6 +279,13 @@ def test_packing_nulls_and_empty(nulls, empty):
     assert sorted(r.length for r in packing.pack(nulls, *args).filter("doc_id is null").collect())[:2] == [1, 1]
 
 
+def test_small_partitions_are_packed_together(spark):
+    """As many tasks as cores at most pack a table of many small partitions."""
+    rows = spark.range(0, 600, 1, 60).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text")
+    assert packing.whole_tasks(rows, 1 << 40).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert packing.whole_tasks(rows, 1).rdd.getNumPartitions() == 60
+
+
 def test_best_fit_against_a_plain_search():
     rng = np.random.default_rng(0)
     for most in (1, 3, 50):
@@ -277,9 +343,41 @@ def test_cuts_are_safe():
 def test_json_vocabulary_is_that_of_the_library():
     path, pattern = tokenizer("byte_bpe_50k.json")
     codec, t = bpe.encoding(path, pattern), Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    for x in ("", "a", text(1), "<|endoftext|> x", "é漢 \n\n  x'll", "\x00\x7f"):
-        assert codec.encode_ordinary(x) == t.encode(x, add_special_tokens=False).ids
+    for x in ("", "a", text(1), "é漢 \n\n  x'll", "\x00\x7f"):
+        assert codec.encode_ordinary(x) == bpe.encode(codec, x).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+SPACES = (" ", "\n", "\t", "\u00a0", "\u3000", "\r\n ")
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"])
+def test_long_white_space_is_cut_safely(name):
+    """Runs that go past the pattern have the ids of the whole text, at the start, within, before added tokens and at the end."""
+    codec = bpe.encoding(*tokenizer(name))
+    whole = (lambda x: codec.encode(x, allowed_special="all")) if codec.special_tokens_set else codec.encode_ordinary
+    for run in (x * n for x in SPACES for n in (3, 4, 9)):
+        for x in (f"a{run}b", run, f"{run}b", f"a{run}", f"a {run}'s{run}{run}x1{run}!", f"a{run}<|endoftext|>{run}b", f"\x1c{run}\x1c"):
+            for long in (1, 5, 1 << 16):
+                assert bpe.encode(codec, x, long, long_space=4).tolist() == whole(x)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"])
+def test_millions_of_spaces(spark, name):
+    """The pattern's engine would end the process with an overflow of its stack."""
+    path, pattern = tokenizer(name)
+    codec = bpe.encoding(path, pattern)
+    for x in ("x" + " " * 2_000_000 + "y", "\n" * 2_000_000, " \t" * 1_000_000 + "z", "q" * 1_000_000):
+        assert bpe.decode(codec, bpe.encode(codec, x)) == x.encode()
+    docs = spark.createDataFrame([(1, "x" + " " * 2_000_000 + "y"), (2, "a")], "doc_id long, text string")
+    assert [r.round_trip for r in bpe.encode_texts(docs, path, pattern).collect()] == [True, True]
+    assert packing.pack(docs, path, pattern).filter("doc_id = 1").agg(F.sum("length")).first()[0] == len(bpe.encode(codec, "x" + " " * 2_000_000 + "y")) + 1
+
+
+def test_spaces_as_the_library_of_the_vocabulary():
+    path, pattern = tokenizer("byte_bpe_50k.json")
+    codec, t = bpe.encoding(path, pattern), Tokenizer.from_file(path)
+    for x in ("x" + " " * 50_000 + "y", "\n" * 50_000, "a" + "\u00a0 " * 9_000 + "\n<|endoftext|>" + " " * 9_000 + "'ll"):
+        assert bpe.encode(codec, x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 def test_bpe_nulls_and_empty(nulls, empty):

@@ -16,22 +16,26 @@ from weftgraph.llm.queries import tokenizer
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def plain_similar(rows):
-    """Smallest id reachable over fingerprints within the allowed distance, all pairs compared."""
-    prints = np.array([similar.wide_print(t) for _, t in rows], dtype=np.uint64).reshape(-1, 4)
-    most, label = similar.most_bits(0.8), {d: d for d, _ in rows}
+def shingles(t, n=5):
+    words = [w.decode() for w in brute.WORD.findall((t or "").encode().lower())]
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def plain_similar(rows, least=0.8):
+    """Smallest id reachable over pairs whose five-word shingles have the similarity, all pairs compared."""
+    own, label = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for i, (d, _) in enumerate(rows):
-        for j in range(i):
-            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= most:
-                a, b = sorted((find(d), find(rows[j][0])))
-                label[b] = a
-    return {d: find(d) for d, _ in rows}
+    for a in own:
+        for b in own:
+            if a < b and (own[a] == own[b] or len(own[a] & own[b]) >= least * len(own[a] | own[b])):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    return {d: find(d) for d in own}
 
 
 def edited(base, *places):
@@ -63,19 +67,19 @@ def test_similar_nulls_and_empty(nulls, empty):
     assert sorted(((r.doc_id, r.component_id) for r in similar.similar_dedup(nulls).collect()), key=str) == sorted([(None, None)] * 3 + [(7, 7)] * 2, key=str)
 
 
-def test_recall_and_precision_of_keys():
-    """Pairs of texts at a similarity over 0.9 are found; unlike texts aren't."""
-    rng, hit = np.random.default_rng(0), 0
-    for k in range(60):
-        a = text(k, 250)
-        b = edited(a, *rng.choice(250, 2, replace=False).tolist())
-        prints = np.array([similar.wide_print(a), similar.wide_print(b), similar.wide_print(text(k + 500, 250))], dtype=np.uint64)
-        rows, keys = similar.wide_keys(prints, 12)
-        own = [set(keys[rows == i].tolist()) for i in range(3)]
-        close = np.bitwise_count(prints[0] ^ prints[1]).sum() <= similar.most_bits(0.8)
-        hit += bool(own[0] & own[1]) and bool(close)
-        assert np.bitwise_count(prints[0] ^ prints[2]).sum() > similar.most_bits(0.8)
-    assert hit >= 54
+def test_simhash_keys_are_among_the_keys():
+    """Texts whose fingerprints differ in two bits or fewer share a Golay key."""
+    found = 0
+    for k in range(200):
+        texts = [text(k, 600), edited(text(k, 600), 599)]
+        hashes = [similar.shingle_hashes(t, 5) for t in texts]
+        bits = (similar.fingerprint(hashes[0]) ^ similar.fingerprint(hashes[1])).bit_count()
+        keys = [set(x.tolist()) for x in similar.keys_of(hashes, [np.unique(h) for h in hashes])]
+        bands = [set(similar.band_keys(np.unique(h)).tolist()) for h in hashes]
+        found += bits <= 2
+        assert bits > 2 or (keys[0] - bands[0]) & (keys[1] - bands[1])
+        assert bands[0] <= keys[0]
+    assert found > 50
 
 
 def test_pipeline(spark, tmp_path, rows, near_rows):
@@ -108,7 +112,6 @@ def test_pipeline(spark, tmp_path, rows, near_rows):
                 gone[i : i + 400] = True
         left[d] = np.frombuffer(r, dtype=np.uint8)[~gone].tobytes().decode(errors="ignore")
     t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")[0])
-    t.encode_special_tokens = True
     ids = {d: t.encode(x, add_special_tokens=False).ids + [2] for d, x in left.items()}
     brute.check_packing([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in found], ids)
     assert {r.doc_id for r in found} == set(ids)
@@ -139,11 +142,6 @@ def test_recall_of_keys_at_any_size():
     assert hit == 300
 
 
-def shingles(t, n=5):
-    words = (t or "").lower().split()
-    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
-
-
 @pytest.mark.parametrize("block", [1024, 3])
 def test_links_need_the_similarity(spark, block):
     """Components are those of the true similarity of 0.8 over all pairs from 0.6 to 0.95, and none below links."""
@@ -152,44 +150,19 @@ def test_links_need_the_similarity(spark, block):
         base = text(k, 300, f"p{k}w")
         rows += [(10 * k, base)] + [(10 * k + i, edited(base, *rng.choice(300, n, replace=False).tolist())) for i, n in enumerate(rng.integers(2, 16, 3).tolist(), 1)]
     own = {d: shingles(t) for d, t in rows}
-    label, sims = {d: d for d, _ in rows}, []
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for a in own:
-        for b in own:
-            if a < b and a // 10 == b // 10:
-                sims.append(len(own[a] & own[b]) / len(own[a] | own[b]))
-                if sims[-1] >= 0.8:
-                    x, y = sorted((find(a), find(b)))
-                    label[y] = x
+    sims = [len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b and a // 10 == b // 10]
     assert sum(0.6 <= s < 0.8 for s in sims) > 50 and sum(0.8 <= s < 0.95 for s in sims) > 50
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in similar.similar_dedup(docs, block=block).collect()}
-    assert found == {d: find(d) for d, _ in rows}
+    assert found == plain_similar(rows)
 
 
 def test_near_duplicates_against_true_similarity(spark, rows, near_rows):
     """The stage keeps the smallest id of each component of the true similarity; a text and four fifths of it (0.74) both stay."""
     table = [(d, t) for d, t in [*rows, *((1000 + d, t) for d, t in near_rows)]]
-    own = {d: shingles(t) for d, t in table}
-    label = {d: d for d, _ in table}
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for a in own:
-        for b in own:
-            if a < b and (own[a] == own[b] or len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])):
-                x, y = sorted((find(a), find(b)))
-                label[y] = x
+    label = plain_similar(table)
     docs = spark.createDataFrame(table, "doc_id long, text string")
     found = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
-    assert found == {d for d in own if find(d) == d}
+    assert found == {d for d in label if label[d] == d}
     whole, part = (next(d for d, t in table if t == x) for x in (text(9), text(9, 60)))
     assert {whole, part} <= found

@@ -2,7 +2,11 @@
 
 Long texts are cut before encoding, at places where the pre-splitting pattern always ends a match
 and where no match looks across: between a character that isn't white space and an ASCII space or
-line feed. So the ids are those of the whole text, while the library sees bounded pieces.
+line feed. Long runs of white space, over which the library's pattern engine would run out of
+stack, are cut out too: the pattern takes such a run as one match, all of it at the end of the text
+and all but its last character elsewhere, and that match is encoded without the pattern. So the ids
+are those of the whole text, while the pattern sees bounded pieces; a run without white space of
+any length stays one piece, which the pattern takes without a stack.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Texts of more characters than this are cut.
 LONG = 1 << 16
+#: Runs of more white space than this are encoded without the pattern.
+LONG_SPACE = 1 << 12
 _SAFE = regex.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -61,12 +67,44 @@ def safe_pieces(text: str, long: int = LONG) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(codec: tiktoken.Encoding, text: str, long: int = LONG) -> np.ndarray:
+def parts_of(text: str, long_space: int = LONG_SPACE) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is one match of white space): parts that are encoded one by one with the result of the whole."""
+    start = 0
+    for run in regex.finditer(rf"\p{{White_Space}}{{{long_space},}}+", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    yield text[start:], False
+
+
+def segments(codec: tiktoken.Encoding, text: str) -> Iterator[tuple[str, int | None]]:
+    """(text, None) between the vocabulary's added tokens and (token, id) for each that stands in the text."""
+    start = 0
+    if added := sorted(codec.special_tokens_set, key=len, reverse=True):
+        for hit in regex.finditer("|".join(map(regex.escape, added)), text):
+            yield text[start : hit.start()], None
+            yield hit[0], codec.encode_single_token(hit[0])
+            start = hit.end()
+    yield text[start:], None
+
+
+def encode(codec: tiktoken.Encoding, text: str, long: int = LONG, long_space: int = LONG_SPACE) -> np.ndarray:
     """Ids as little-endian unsigned 32-bit integers; added tokens of the vocabulary that stand in the text are found as such."""
-    whole = (lambda x: codec.encode(x, allowed_special="all")) if codec.special_tokens_set else codec.encode_ordinary
-    if len(text) <= long:
-        return np.array(whole(text), dtype="<u4")
-    return np.concatenate([np.array(whole(x), dtype="<u4") for x in safe_pieces(text, long)])
+    ids: list[int] = []
+    for segment, added in segments(codec, text):
+        if added is not None:
+            ids.append(added)
+        elif len(segment) <= min(long, long_space):
+            ids += codec.encode_ordinary(segment)
+        else:
+            for part, space in parts_of(segment, long_space):
+                if space:
+                    ids += codec._encode_single_piece(part.encode())
+                else:
+                    for piece in safe_pieces(part, long):
+                        ids += codec.encode_ordinary(piece)
+    return np.array(ids, dtype="<u4")
 
 
 def decode(codec: tiktoken.Encoding, ids: np.ndarray) -> bytes:
@@ -77,8 +115,8 @@ def decode(codec: tiktoken.Encoding, ids: np.ndarray) -> bytes:
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, round_trip: a row for each row of ``docs``.
 
-    A null text counts as empty: no ids, and the digests of nothing. Repeated rows give repeated
-    rows, an empty table none. Other columns are ignored. The rank file is read on each executor;
+    A null text counts as empty: no ids, and the digests of nothing. Texts of any length are encoded
+    whole. Repeated rows give repeated rows, an empty table none. Other columns are ignored. The rank file is read on each executor;
     its path must be valid there.
     """
 

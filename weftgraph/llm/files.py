@@ -23,8 +23,3 @@ def write_whole(address: str, data: bytes) -> None:
         out.write(data)
     system.move(part, path)
 
-
-def read_whole(address: str) -> bytes:
-    system, path = open_system(address)
-    with system.open_input_stream(path, compression=None) as source:
-        return source.read()

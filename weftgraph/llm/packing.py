@@ -22,6 +22,7 @@ from .bpe import LONG, encode, encoding
 
 LENGTH = 1024
 OPEN_BINS = 512
+TASK_BYTES = 16 << 20
 _TASK_SHIFT = 36  # sequence_id: partition number, then a count within it
 
 
@@ -66,14 +67,23 @@ def cut(n: int, size: int = LENGTH) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, size) for s in range(head, n, size)]
 
 
+def whole_tasks(rows: DataFrame, task_bytes: int) -> DataFrame:
+    """``rows`` in no more partitions than there are ``task_bytes``, but in as many as there are cores if it has them."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))
+    return rows.coalesce(most) if most < 1 << 31 else rows
+
+
 def pack(
-    docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = LENGTH, most_open: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, long: int = LONG
+    docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = LENGTH, most_open: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, long: int = LONG, task_bytes: int = TASK_BYTES
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): a row for each piece of each row of ``docs``.
 
     A document's ids are followed by ``end_id``, so that a null or empty text is one piece of one
-    token. Rows that repeat an id are packed each on its own. An empty table gives no rows. Other
-    columns are ignored.
+    token. A text of any length is encoded whole, then cut. Rows that repeat an id are packed each
+    on its own. An empty table gives no rows. Other columns are ignored. Partitions that the
+    optimizer takes for smaller than ``task_bytes`` are brought together without a shuffle, as long
+    as every core has one: each leaves some of its last bins open.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
@@ -93,4 +103,4 @@ def pack(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], [x.split()[0] for x in schema.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(packed, schema)
+    return whole_tasks(rows, task_bytes).mapInArrow(packed, schema)

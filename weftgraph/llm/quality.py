@@ -5,8 +5,10 @@ over the embedded bytes of each chunk and are max-pooled; the chunks' vectors ar
 and mean of each filter) and a small layer turns them into one probability.
 
 The network is fitted on the driver by Adam, on ``per_class`` labelled documents of each class at
-most: those with the smallest hash of their id. The true share of the classes is put back into the
-last bias. Scoring is one pass without a shuffle.
+most: those with the smallest hash of their id, one text for each id. Of a text of more than
+``fit_chars`` characters it learns from sixteen passages spread evenly over the whole, of so many
+characters together; so what the driver takes is bounded. The true share of the classes is put back
+into the last bias. Scoring is one pass without a shuffle, over every byte of every text.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_CLASS = 1000
+FIT_CHARS = 1 << 16
+_PASSAGES = 16
 EPOCHS = 6
 LEAST_STEPS = 400  # of training, however few documents are labelled
 THRESHOLD = 0.3
@@ -161,29 +165,34 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, epochs: int) -> ByteNet:
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, epochs: int, fit_chars: int) -> ByteNet:
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     marked = marked.filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = [marked.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     picked = F.broadcast(chosen[0].union(chosen[1]))  # 2 * per_class rows at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = sorted(texts.join(picked, "doc_id").select("doc_id", "text", "label").toLocalIterator(), key=lambda r: (r.doc_id, r.text))
+    size = max(1, fit_chars // _PASSAGES)
+    step = (F.length("text") - size) / (_PASSAGES - 1)
+    passages = F.concat(*(F.substring("text", F.floor(step * k).cast("int") + 1, F.lit(size)) for k in range(_PASSAGES)))
+    texts = texts.join(picked, "doc_id").select("doc_id", "label", F.when(F.length("text") > fit_chars, passages).otherwise(F.col("text")).alias("text"))
+    rows = sorted(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect(), key=lambda r: r.doc_id)  # 2 * per_class at most
     n = sum(counts.values())
     return fit([r.text.encode() for r in rows], [r.label for r in rows], counts.get(1, 0) / n if n else 0.5, epochs)
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, epochs: int = EPOCHS, threshold: float = THRESHOLD
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, epochs: int = EPOCHS, threshold: float = THRESHOLD, fit_chars: int = FIT_CHARS
 ) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of ``docs``.
 
     A null or empty text is scored as padding alone. Labels other than 0 and 1 and rows without
     an id teach nothing; an id with both labels counts as 1. Without labels of both kinds every
     score is the share of label 1 (0.5 without any). A null id is not held out. Repeated rows get
-    equal scores. An empty table gives no rows. Only the bytes of the text enter a score.
+    equal scores; an id teaches once, by the smallest of its texts. Texts of any length are scored
+    whole, some chunks at a time. An empty table gives no rows. Only the bytes of the text enter a score.
     """
-    net = fit_on(docs, labels, id_col, text_col, label_col, per_class, epochs)
+    net = fit_on(docs, labels, id_col, text_col, label_col, per_class, epochs, fit_chars)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

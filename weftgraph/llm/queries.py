@@ -32,7 +32,7 @@ def tokenizer(name: str) -> tuple[str, str]:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
+    return near_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import write_out
+from .shared import forget, write_out
 
 SEED = 42
 SHINGLE = 3
@@ -155,24 +155,25 @@ def links(classes: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i))))
     meets = many.select("fp", F.explode(around).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("held")).filter(F.size("held") > 1)
     stars = meets.select(F.array_min("held").alias("a"), F.explode("held").alias("b")).filter("a < b")
-    return near.union(stars).distinct()
+    found = write_out(near.union(stars).distinct(), "simhash-found")
+    forget(keys, sizes, shared)
+    return found
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """doc_id, fingerprint, component_id, n_links: a row for each row of ``docs``.
+    """doc_id, fingerprint, component_id: a row for each row of ``docs``.
 
-    n_links counts the other fingerprints that the document's own is linked to in the links kept
-    for the components. Texts without words, null texts among them, have fingerprint zero and are
-    linked like any other. Repeated rows share a class. Null ids never name a component, unless
-    it has no other. An empty table gives no rows. Other columns are ignored.
+    Texts without words, null texts among them, have fingerprint zero and are linked like any
+    other. A text of any length is one row of one task, whose memory holds some ten times its
+    bytes; nothing is cut off. Repeated rows share a class. Null ids never name a component,
+    unless it has no other. An empty table gives no rows. Other columns are ignored.
     """
     printed = write_out(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
     classes = write_out(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     linked = write_out(links(classes, pair_limit), "simhash-links")
-    roots = components(linked)
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = classes.join(components(linked), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(named, "root").join(degree, F.col("fp") == F.col("node"), "left")
-    by_print = by_print.select("fp", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return printed.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    # written, so that both sides of the join with all rows are dealt for it alone and AQE may split a hot fingerprint
+    by_print = write_out(placed.join(named, "root").select("fp", "component_id"), "simhash-named")
+    forget(classes, linked)
+    return printed.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,12 +1,16 @@
-"""Near-dedup at a stated similarity: MinHash keys, join, and verification by the shingles themselves.
+"""SimHash near-dedup at a stated similarity: fuzzy keys, join, and verification by the shingles themselves.
 
 The similarity of two texts is that of their sets of word shingles, which are held as sorted 64-bit
 hashes: shared shingles over all shingles of both. Texts with equal sets are one class.
 
-Candidates come from MinHash keys of the shingles: a key is the hash of ``ROWS`` minima, and a
-document has ``BANDS`` of them. Two documents of similarity s share one with the probability
-1 - (1 - s^6)^32, which is 0.99994 at 0.8 and doesn't depend on the number of documents. Keys have
-64 bits, so documents without common shingles meet by chance in a corpus of no practical size.
+Candidates come from two kinds of keys. The first are those of ``simhash``: a 64-bit SimHash of the
+shingles, a Golay index for each segment, so that all pairs of two differing bits or fewer meet.
+Most pairs at a similarity of 0.8 differ in more (13 of 64 bits are expected), and longer
+fingerprints either meet by chance or lose pairs as the corpus grows. So there are MinHash keys of
+the same shingles, too: a key is the hash of ``ROWS`` minima, and a document has ``BANDS`` of them.
+Two documents of similarity s share one with the probability 1 - (1 - s^6)^32, which is 0.99994 at
+0.8 and doesn't depend on the number of documents. Those keys have 64 bits, so documents without
+common shingles meet by chance in a corpus of no practical size.
 
 Every candidate is confirmed by its similarity before it is a link. Buckets with the same members
 are looked at once. A bucket of up to ``block`` members is compared as one group, which gives at
@@ -14,14 +18,10 @@ most one link for each member, enough for its components. The members of a large
 held against one of them. Mostly that joins nearly all into one component; those outside of it are
 then compared with all members, block by block. So a group of near copies costs rows in proportion
 to its size, and still no link between components is lost.
-
-``wide_print`` and ``wide_keys`` are the fingerprints of 256 bits and Golay keys that tests compare
-the stage with; the stage itself doesn't use them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,34 +32,18 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import forget, write_out
-from .simhash import fingerprint, golay_index, shingle_hashes
+from .simhash import fingerprint, fuzzy_keys, shingle_hashes
 from .substring import mix
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS = 256
-SEGMENTS = 32
 ROWS = 6
 BANDS = 32
 BLOCK = 1024
-_SEEDS = (0, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_SCALES, _SHIFTS = (mix(np.arange(i, i + ROWS * BANDS, dtype=np.uint64) * np.uint64(_SEEDS[1])) | np.uint64(1) for i in (1, 1 << 20))
-_FLIPS = np.array([0, *(1 << i for i in range(23))], dtype=np.int32)
+_SCALES, _SHIFTS = (mix(np.arange(i, i + ROWS * BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1) for i in (1, 1 << 20))
 _CLASS = ["d0", "d1"]
 
 
-def most_bits(similarity: float) -> int:
-    """Bits that may differ: the number expected at this similarity, and one standard deviation, so that few such pairs are lost."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(BITS * p + math.sqrt(BITS * p * (1 - p)))
-
-
-def wide_print(text: str | None, shingle: int = SHINGLE) -> list[int]:
-    """Four 64-bit SimHashes of the word shingles, repeats included."""
-    hashes = shingle_hashes(text, shingle)
-    return [fingerprint(mix(hashes ^ np.uint64(s)).astype("<u8") if s else hashes) for s in _SEEDS]
-
-
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The different word shingles of a text as sorted hashes."""
     return np.unique(shingle_hashes(text, shingle)).astype("<u8")
@@ -78,22 +62,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.astype("<u8")
 
 
-def wide_keys(prints: np.ndarray, exact: int, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each key of each fingerprint, a row of four unsigned 64-bit numbers."""
-    bits = np.unpackbits(np.ascontiguousarray(prints, dtype="<u8").view(np.uint8), axis=1, bitorder="little")
-    rows, keys = [], []
-    for s in range(segments):
-        places = (s * BITS // segments + np.arange(23 + exact)) % BITS
-        own = bits[:, places].astype(np.int64)
-        word = (own[:, :23] << np.arange(23)).sum(axis=1).astype(np.int32)
-        rest = (own[:, 23:] << np.arange(exact)).sum(axis=1)
-        found = np.sort(golay_index(word[:, None] ^ _FLIPS), axis=1)
-        new = np.ones(found.shape, dtype=bool)
-        new[:, 1:] = found[:, 1:] != found[:, :-1]
-        row, at = np.nonzero(new)
-        rows.append(row)
-        keys.append((np.int64(s) << (12 + exact)) | (found[row, at].astype(np.int64) << exact) | rest[row])
-    return np.concatenate(rows), np.concatenate(keys)
+def keys_of(texts: list[np.ndarray], sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text the Golay keys of the SimHash of its shingles, repeats included, and the MinHash keys of their set; none without shingles.
+
+    A Golay key has 36 bits, and one in 2^28 MinHash keys no more; such a chance partner is refused when it is confirmed.
+    """
+    row, key = fuzzy_keys(np.array([fingerprint(h) for h in texts], dtype=np.uint64))
+    order = np.argsort(row, kind="stable")
+    golay = np.split(key[order].astype("<u8"), np.searchsorted(row[order], np.arange(1, len(texts))))
+    return [np.concatenate([g, band_keys(s)]) if len(s) else np.empty(0, dtype="<u8") for g, s in zip(golay, sets, strict=True)]
 
 
 def overlaps(held: list[np.ndarray]):
@@ -272,25 +249,28 @@ def links(texts: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similari
     found = links_of_small(shared.filter(F.col("n") <= block), sets, similarity).unionByName(links_to_leaders(large, sets, similarity))
     found = write_out(_ordered(found), "similar-links")
     odd = links_of_odd(large, sets, components(found), similarity, block)
-    return _ordered(found.unionByName(odd))
+    out = write_out(_ordered(found.unionByName(odd)), "similar-all")
+    forget(shared, sets, found)
+    return out
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """doc_id, component_id, n_links: a row for each row of ``docs``; component_id is the smallest id reachable.
+    """doc_id, component_id: a row for each row of ``docs``; component_id is the smallest id reachable.
 
-    n_links counts the links kept at the document's class. Null and empty texts have no shingles
-    and are one class. Rows with a null id are returned with a null component and never compared.
-    Repeated rows share a class. An empty table gives no rows. Other columns are ignored.
+    Null and empty texts have no shingles and are one class. A text of any length is one row of one
+    task, whose memory holds some ten times its bytes. Rows with a null id are returned with a null
+    component and never compared. Repeated rows share a class. An empty table gives no rows. Other
+    columns are ignored.
     """
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, keys = [], []
-            for text in b.column("text"):
-                own = shingle_set(text.as_py(), shingle)
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                keys.append(band_keys(own).view("<i8"))
-            two = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            if not len(b):
+                continue
+            hashes = [shingle_hashes(text.as_py(), shingle) for text in b.column("text")]
+            sets = [np.unique(h).astype("<u8") for h in hashes]
+            two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
+            keys = [k.view("<i8") for k in keys_of(hashes, sets)]
             columns = [*(pa.array(np.ascontiguousarray(two[:, i])) for i in (0, 1)), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *_CLASS, "keys"])
 
@@ -299,9 +279,8 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = prints.filter("doc_id is not null")
     classes = named.groupBy(*_CLASS).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     classes = write_out(classes.select("node", *_CLASS, "keys"), "similar-classes")
-    linked = write_out(links(rows, classes, shingle, similarity, block), "similar-links")
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = classes.join(components(linked), "node", "left").join(degree, "node", "left")
-    placed = placed.select(*_CLASS, F.coalesce("root", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    alone = prints.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return named.join(placed, _CLASS).select("doc_id", "component_id", "n_links").unionByName(alone)
+    roots = components(links(rows, classes, shingle, similarity, block))
+    placed = write_out(classes.join(roots, "node", "left").select(*_CLASS, F.coalesce("root", "node").alias("component_id")), "similar-placed")
+    forget(classes)
+    alone = prints.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"))
+    return named.join(placed, _CLASS).select("doc_id", "component_id").unionByName(alone)

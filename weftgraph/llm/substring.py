@@ -1,25 +1,29 @@
 """Incremental substring dedup with a log-structured index of window hashes.
 
 Fingerprints. A text's words are hashed, and 8-word grams by a polynomial of them. Of the 13 grams
-in a 20-word window the smallest is its anchor (all of them, if several are equal), so equal
-windows have the same anchors at the same places. About one word in seven is an anchor. The index
-holds an entry (hash, doc_id, place) for each.
-
-Runs. Documents come in batches by ascending doc_id. The entries of a batch are written once, in
-files sorted by hash, as an immutable run; the batch is merge-joined with the earlier runs and
-itself, and the anchors found twice are its candidates. When ``fan_in`` runs have gathered, they
-are compacted into one.
-
-Verification. The texts that hold candidates (new or historical) are read again. The windows that
-share a leftmost anchor are a context, identified by a 128-bit digest of all its words. Of equal
-contexts the first stays, the others go whole. Where an anchor has contexts that differ, the first
-of each is taken apart into windows, each with a 128-bit digest of its twenty words, and the first
-place of each digest is kept. So a window is removed only if all of its words were seen before.
+in a 20-word window the leftmost smallest is its anchor, so equal windows have equal anchors at
+equal places. The windows of a text that share an anchor are a context: a row (hash of the anchor,
+128-bit digest of all words of the context, doc_id, first place, number of windows). There is about
+one for every seven words.
+
+Runs. Documents come in batches by ascending doc_id. The contexts of a batch are written once and
+never changed. Beside them goes a run: the different hashes of the batch with their numbers, in one
+sorted file for each bucket of hashes. A batch's run is merge-joined with the
+earlier runs, bucket by bucket as they lie, without an exchange or a sort; hashes found twice are
+its candidates. When ``fan_in`` runs have gathered they are merged into one, in the same way, and
+later batches read the merged run. A run has one row for a hash, however many places it has; the
+places are joined with the candidates in a join that AQE may split.
+
+Verification. Of equal contexts the first stays, the others go whole. Where an anchor has contexts
+that differ, the texts with the first of each are read again, and the contexts are taken apart into
+windows, each with a 128-bit digest of its twenty words; the first place of each digest is kept. So
+a window is removed only if all of its words were seen before.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, forget, fresh_path, small_enough, write_out
+from .shared import CLEANUP, delete, forget, fresh_path, is_small, settings, small_enough, write_out
 
 WINDOW = 20
 GRAM = 8
-BATCHES = 2
+BATCHES = 4
 FAN_IN = 2
 #: Texts are handled together up to so many words, so arrays stay small.
 _CHUNK_WORDS = 1 << 18
@@ -107,71 +111,107 @@ def window_digests(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
     return tuple(rolling(word_hashes(words, seed), window, base) for seed, base in enumerate(_BASES))
 
 
-def anchor_entries(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """hash, doc_id, place for each anchor of (doc_id, text)."""
-    width = window - gram + 1
+CONTEXT = "hash long, high long, low long, doc_id long, place int, n int"
+
+
+def contexts(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """A row for each run of windows with one leftmost anchor, of (doc_id, text): its hash, digest, first place and length."""
+    width, (one, two) = window - gram + 1, (np.uint64(b) for b in _BASES)
+    names = [x.split()[0] for x in CONTEXT.split(", ")]
+
+    def batch(parts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, ids, places, held = [], [], [], 0
+            parts, held = [], 0
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 words = words_in(text.as_py())
                 if len(words) < window:
                     continue
-                grams = rolling(word_hashes(words, 0), gram, _BASES[0])
-                at = anchors_of(grams, width)
-                hashes.append(grams[at])
-                ids.append(np.full(len(at), doc, dtype=np.int64))
-                places.append(at.astype(np.int32))
-                held += len(at)
+                hashes = word_hashes(words, 0)
+                grams = rolling(hashes, gram, _BASES[0])
+                at = leftmost_least(grams, width)
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                last = np.concatenate([first[1:], [len(at)]]) - 1
+                high, low = rolling(hashes, window, _BASES[0]), rolling(word_hashes(words, 1), window, _BASES[1])
+                n = (last - first + 1).astype(np.uint64)
+                # the first and the last window hold all words of the run between them
+                digests = (mix(x[first] * one + x[last] * two + n).view(np.int64) for x in (high, low))
+                parts.append((grams[at[first]].view(np.int64), *digests, np.full(len(first), doc, dtype=np.int64), first.astype(np.int32), n.astype(np.int32)))
+                held += len(first)
                 if held > _CHUNK_WORDS:
-                    yield _entries(hashes, ids, places)
-                    hashes, ids, places, held = [], [], [], 0
+                    yield batch(parts)
+                    parts, held = [], 0
             if held:
-                yield _entries(hashes, ids, places)
+                yield batch(parts)
 
-    return docs.mapInArrow(found, "hash long, doc_id long, place int")
+    return docs.mapInArrow(found, CONTEXT)
 
 
-def _entries(hashes: list, ids: list, places: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], ["hash", "doc_id", "place"])
+#: A file of a bucket counts as sorted if it is the only one.
+_SORTED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+#: A task of the aggregation is a bucket, so that a bucket is one file.
+_WHOLE = {"spark.sql.adaptive.coalescePartitions.enabled": "false", CLEANUP: "true"}
 
 
 class WindowIndex:
-    """The runs, newest last. Each is a folder of Parquet files, ranged and sorted by hash, never changed."""
+    """The runs, newest last, and the batches' contexts. A run is a table of (hash, n), in buckets and sorted by hash, never changed."""
 
     def __init__(self, spark: SparkSession, address: str | None = None, fan_in: int = FAN_IN):
         self.spark, self.address, self.fan_in = spark, address or fresh_path(spark, "window-index"), fan_in
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
-        self.written = 0
+        self.batches: list[DataFrame] = []
+        self.merges = 0
 
-    def _write(self, entries: DataFrame) -> str:
-        path = f"{self.address}/run-{self.written:05d}"
-        self.written += 1
-        entries.select("hash", "doc_id", "place").sortWithinPartitions("hash").write.parquet(path)
-        return path
+    def _write(self, hashes: DataFrame) -> str:
+        name = f"window_run_{uuid.uuid4().hex}"
+        with settings(self.spark, _SORTED | _WHOLE):
+            hashes.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.address}/{name}").saveAsTable(name, format="parquet")
+        return name
 
-    def read(self, runs: list[str]) -> DataFrame:
-        return self.spark.read.schema("hash long, doc_id long, place int").parquet(*runs)
+    def run(self, name: str) -> DataFrame:
+        return self.spark.table(name).hint("merge")
 
-    def add(self, entries: DataFrame) -> DataFrame:
-        """Add a batch; returns the entries, old and new, whose hash is in the batch and occurs twice or more."""
+    def add(self, found: DataFrame) -> DataFrame:
+        """Add a batch of contexts; returns those, old and new, whose hash is in the batch and occurs twice or more."""
+        self.batches.append(write_out(found, "window-contexts"))
         old = list(self.runs)
-        self.runs.append(self._write(entries))
-        new = self.read(self.runs[-1:])
-        counts = new.groupBy("hash").agg(F.count("*").alias("fresh"))
-        if not old:
-            again = write_out(counts.filter("fresh > 1").select("hash"), "window-again")  # written first, so that AQE may split the join by skew
-            return write_out(new.join(again, "hash"), "window-candidates")
-        history = self.read(old)
-        known = history.select("hash").distinct().withColumn("known", F.lit(True))
-        again = write_out(counts.join(known, "hash", "left").filter("fresh > 1 or known").select("hash"), "window-again")
-        return write_out(history.union(new).join(again, "hash"), "window-candidates")
+        self.runs.append(self._write(self.batches[-1].groupBy("hash").agg(F.count("*").alias("n"))))
+        again, known = self.run(self.runs[-1]), F.lit(False)
+        for i, name in enumerate(old):
+            again = again.join(self.run(name).select("hash", F.lit(True).alias(f"known{i}")), "hash", "left")
+            known = known | F.coalesce(f"known{i}", F.lit(False))
+        with settings(self.spark, _SORTED):
+            again = write_out(again.filter((F.col("n") > 1) | known).select("hash"), "window-again")
+        held = self.spark.read.schema(CONTEXT).parquet(*(b.scratch_path for b in self.batches))
+        out = write_out(held.join(small_enough(again), "hash"), "window-candidates")
+        forget(again)
+        return out
 
     def compact(self) -> None:
         """Merge all runs into one if there are ``fan_in`` or more."""
-        if len(self.runs) >= self.fan_in:
-            self.runs = [self._write(self.read(self.runs).repartitionByRange("hash", "doc_id", "place"))]  # a hot hash may span files
+        if len(self.runs) < max(2, self.fan_in):
+            return
+        first, *rest = (self.run(name) for name in self.runs)
+        for r in rest:
+            first = first.withColumnRenamed("n", "m").join(r, "hash", "full").select("hash", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"))
+        merged = self._write(first)
+        self._drop(self.runs)
+        self.runs = [merged]
+        self.merges += 1
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, f"{self.address}/{name}")
+
+    def drop(self) -> None:
+        """Delete the index."""
+        self._drop(self.runs)
+        forget(*self.batches)
+        self.runs, self.batches = [], []
 
 
 def _texts_with(texts: DataFrame, lists: DataFrame) -> DataFrame:
@@ -182,53 +222,12 @@ def _texts_with(texts: DataFrame, lists: DataFrame) -> DataFrame:
 def with_lists(rows: DataFrame, lists: DataFrame, own: str = "own") -> DataFrame:
     """``rows`` with the list of their doc_id, or null. If the ids in ``lists``, a written table, are few, only their rows are shuffled."""
     none = F.lit(None).cast(lists.schema[own].dataType).alias(own)
-    if lists.count() > BROADCAST_ROWS:
+    if not is_small(lists.select("doc_id")):
         return rows.join(lists, "doc_id", "left")
     ids = F.broadcast(lists.select("doc_id"))
     return rows.join(ids, "doc_id", "left_semi").join(lists, "doc_id").unionByName(rows.join(ids, "doc_id", "left_anti").select("*", none))
 
 
-_CONTEXT = "hash long, high long, low long, doc_id long, place int, n int"
-
-
-def contexts(texts: DataFrame, candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """A row for each run of windows whose leftmost anchor is a candidate: its hash, digest, first place and length."""
-    per_doc = write_out(candidates.groupBy("doc_id").agg(F.collect_set("place").alias("own")), "window-anchors")  # no more than a text has words
-    width, (one, two) = window - gram + 1, (np.uint64(b) for b in _BASES)
-    names = [x.split()[0] for x in _CONTEXT.split(", ")]
-
-    def batch(parts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts, held = [], 0
-            for doc, text, own in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("own"), strict=True):
-                words = words_in(text.as_py())
-                if len(words) < window:
-                    continue
-                hashes = word_hashes(words, 0)
-                grams = rolling(hashes, gram, _BASES[0])
-                at = leftmost_least(grams, width)
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                last = np.concatenate([first[1:], [len(at)]]) - 1
-                take = np.isin(at[first], own.values.to_numpy(zero_copy_only=False))
-                first, last = first[take], last[take]
-                high, low = rolling(hashes, window, _BASES[0]), rolling(word_hashes(words, 1), window, _BASES[1])
-                n = (last - first + 1).astype(np.uint64)
-                # the first and the last window hold all words of the run between them
-                digests = (mix(x[first] * one + x[last] * two + n).view(np.int64) for x in (high, low))
-                parts.append((grams[at[first]].view(np.int64), *digests, np.full(len(first), doc, dtype=np.int64), first.astype(np.int32), n.astype(np.int32)))
-                held += len(first)
-                if held > _CHUNK_WORDS:
-                    yield batch(parts)
-                    parts, held = [], 0
-            if held:
-                yield batch(parts)
-
-    return _texts_with(texts, per_doc).mapInArrow(found, _CONTEXT)
-
-
 def windows_in(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
     """high, low, doc_id, place for each window of the runs in ``firsts`` (doc_id, place, n)."""
     per_doc = write_out(firsts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("own")), "window-runs")
@@ -258,10 +257,8 @@ def windows_in(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
 _PLACE = ("doc_id", "place")
 
 
-def later_places(texts: DataFrame, candidates: DataFrame, low: int, window: int, gram: int) -> DataFrame:
-    """doc_id, own: runs (place, n) of windows, in documents from ``low`` on, whose words also start earlier."""
-    held = write_out(contexts(texts, candidates, window, gram), "window-contexts")
-    forget(candidates)
+def later_places(texts: DataFrame, held: DataFrame, low: int, window: int) -> DataFrame:
+    """doc_id, own: runs (place, n) of windows, in documents from ``low`` on, whose words also start earlier; ``held`` are the contexts of candidates."""
     kinds = write_out(held.groupBy("hash", "high", "low").agg(F.min(F.struct(*_PLACE, "n")).alias("first"), F.count("*").alias("times")), "window-kinds")
     again = kinds.filter("times > 1").select("hash", "high", "low", "first")
     whole = held.filter(F.col("doc_id") >= low).join(again, ["hash", "high", "low"]).filter(F.struct(*_PLACE) != F.struct("first.doc_id", "first.place"))
@@ -283,20 +280,22 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, b
 
     texts: (doc_id, text) without null ids. They go into the index in ``batches`` ranges of doc_id.
     """
-    index = index or WindowIndex(texts.sparkSession)
+    own = index or WindowIndex(texts.sparkSession)
     ends = texts.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if ends.a is None:
         return texts.sparkSession.createDataFrame([], "doc_id long, own array<struct<place:int,n:int>>")
     bounds = [ends.a + (ends.b - ends.a + 1) * i // batches for i in range(batches + 1)]
-    out = None
+    found = []
     for low, high in zip(bounds, bounds[1:], strict=False):
         part = texts.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high))
-        candidates = index.add(anchor_entries(part, window, gram))
+        held = own.add(contexts(part, window, gram))
         # texts of the batch and the older ones that they meet; what goes from the latter was settled by their own batch
-        found = later_places(texts.filter(F.col("doc_id") < high), candidates, low, window, gram)
-        index.compact()
-        out = found if out is None else out.union(found)
-    return write_out(out, "window-later")
+        found.append(later_places(texts.filter(F.col("doc_id") < high), held, low, window))
+        if high < bounds[-1]:
+            own.compact()  # the next batch reads the merged run
+    if index is None:
+        own.drop()
+    return texts.sparkSession.read.schema(found[0].schema).parquet(*(f.scratch_path for f in found))
 
 
 def without(words: list[bytes], place: np.ndarray, n: np.ndarray, window: int) -> list[bytes]:
@@ -315,11 +314,12 @@ def substring_dedup(
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text: the kept words with one space between): a row for each row of ``docs``.
 
     A window is removed if its words also start in a document of smaller id, or earlier in its
-    own. Null texts have no words. Texts of fewer than ``window`` words lose nothing. Rows that
+    own. Null texts have no words. Texts of fewer than ``window`` words lose nothing. A text of any
+    length is read whole by one task, whose memory holds some twenty times its bytes. Rows that
     repeat an id are one document: a repeated row isn't held against its like, each is returned,
     and the places to remove are those found in any of them. Rows with a null id are returned
-    whole and never compared. An empty table
-    gives no rows. Other columns are ignored.
+    whole and never compared. An empty table gives no rows. Other columns are ignored. An ``index``
+    that is given keeps its runs for later calls; otherwise it is deleted at the end.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = repeated_windows(rows.filter("doc_id is not null"), window, gram, batches, index)

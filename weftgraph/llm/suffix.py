@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_enough, write_out
+from .shared import forget, small_enough, write_out
 from .substring import anchors_of, leftmost_least, mix, rolling, with_lists
 
 WINDOW = 400
@@ -322,6 +322,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     sorted_runs = sort_blocks(several.filter(F.col("kinds") <= most_contexts), window, block_bytes)
     large = runs_of_large(several.filter(F.col("kinds") > most_contexts), window, gram, block_bytes, most_contexts, ranges)
     runs = write_out(whole.union(sorted_runs).union(large), "suffix-runs")
+    forget(entries, again, per_doc, several)
 
     placed = cut.select("high", "low", "doc_id", "start").join(runs, ["high", "low"])
     span = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
@@ -344,15 +345,17 @@ def suffix_dedup(
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``.
 
     with_text adds ``kept_text``: the bytes left as text, without characters of which a part was
-    removed. with_row adds ``row``: the row of ``docs`` as a struct.
+    removed; null for a null text. with_row adds ``row``: the row's other columns as a struct.
 
     Every byte goes that lies in a ``window``-byte string which also starts anywhere else, in the
-    first place and all others. A null text is empty. Texts of fewer bytes lose nothing. A
+    first place and all others. A null text is empty. Texts of fewer bytes lose nothing. A text of
+    any length is read whole by one task, whose memory holds some fifty times its bytes; what is
+    sorted is cut into contexts of bounded size. A
     repeated row is an occurrence of its own, so rows that repeat lose what they share. Rows with
     a null id are returned whole and never compared. An empty table gives no rows. Other columns
     don't matter.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct("*").alias("row")] * with_row)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] * with_row)
     spans = repeated_spans(rows.select("doc_id", "text").filter("doc_id is not null"), window, gram, block_bytes, most_contexts)
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
     if with_row:
@@ -368,7 +371,7 @@ def suffix_dedup(
                 if own.is_valid:
                     first, last = (own.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                     left, n = without(raw, first, last, window)
-                out.append((len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest()) + ((left.decode(errors="ignore"),) if with_text else ()))
+                out.append((len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest()) + ((left.decode(errors="ignore") if text.is_valid else None,) if with_text else ()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*out, strict=True)) or [()] * (4 + with_text)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), *([b.column("row")] if with_row else [])], names)

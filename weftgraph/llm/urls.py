@@ -1,28 +1,33 @@
 """URL filter on a sorted digest array.
 
 A rule is a host with all its subdomains and a prefix of the path, written ``host/path``. The
-index is three files in the shared folder: 64-bit xxhash keys in ascending order, the offsets of
-the rules' strings, and the strings. Tasks memory-map them, so that processes of one machine
-share the pages. Each url gives one candidate for each suffix of its host and each path length
-that occurs among the rules; the candidates of a whole batch are probed by one vectorised binary
-search, and every hit is confirmed by comparing the stored string, so a collision can't match.
+index is a few files in the shared folder: 64-bit xxhash keys in ascending order, the offsets of
+the rules' strings, the strings, their verdicts, and the pairs of host and path lengths that occur.
+Tasks memory-map them, so that processes of one machine share the pages; from a shared folder that
+isn't a mounted one, Spark brings the files to each executor first. A url gives at most one
+candidate for each pair of lengths among the rules; the candidates of a batch are probed by one
+vectorised binary search for every so many, and every hit is confirmed by comparing the stored
+string, so a collision can't match.
 """
 
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import open_system, read_whole, write_whole
+from .files import open_system, write_whole
 from .shared import fresh_path
 
 ALLOW, BLOCK = "allow", "block"
+PROBES = 1 << 16  # candidates that are looked up together
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -42,7 +47,7 @@ def digest(rule: str) -> int:
 
 def write_index(spark: SparkSession, rules: Iterable[tuple[str, str]], address: str | None = None, hash_fn=digest) -> str:
     """Write the index of (verdict, rule) pairs; a rule given twice keeps its last verdict. Returns its folder."""
-    address = address or fresh_path(spark, "url-index")
+    address = (address or fresh_path(spark, "url-index")).rstrip("/")
     known = {rule: verdict for verdict, rule in rules}
     order = sorted(known, key=lambda r: (hash_fn(r), r))
     blob = [r.encode() for r in order]
@@ -50,23 +55,33 @@ def write_index(spark: SparkSession, rules: Iterable[tuple[str, str]], address:
         "keys": np.array([hash_fn(r) for r in order], dtype="<u8"),
         "offsets": np.cumsum([0, *map(len, blob)], dtype="<i8"),
         "blocked": np.array([known[r] == BLOCK for r in order], dtype="u1"),
-        "lengths": np.array(sorted({len(r) - r.index("/") for r in order}), dtype="<i8"),
+        "lengths": np.array(sorted({(r.index("/"), len(r) - r.index("/")) for r in order}), dtype="<i8"),
         "strings": np.frombuffer(b"".join(blob), dtype="u1"),
     }
     for name, data in parts.items():
-        write_whole(f"{address}/{name}.bin", data.tobytes())
+        write_whole(part_address(address, name), data.tobytes())
+        if open_system(address)[0].type_name != "local":
+            spark.sparkContext.addFile(part_address(address, name))
     return address
 
 
+def part_address(address: str, name: str) -> str:
+    """A file of an index; its own name is unique too, as Spark brings files to executors under it."""
+    return f"{address}/{address.rpartition('/')[2]}-{name}.bin"
+
+
 class DigestArray:
     def __init__(self, address: str, hash_fn=digest):
         def load(name: str, kind: str) -> np.ndarray:
-            system, path = open_system(f"{address}/{name}.bin")
-            if system.type_name == "local":
-                return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, kind)
-            return np.frombuffer(read_whole(f"{address}/{name}.bin"), kind)
-
-        self.keys, self.offsets, self.blocked, self.lengths, self.strings = (load(*x) for x in (("keys", "<u8"), ("offsets", "<i8"), ("blocked", "u1"), ("lengths", "<i8"), ("strings", "u1")))
+            system, path = open_system(part_address(address, name))
+            if system.type_name != "local":
+                path = SparkFiles.get(path.rpartition("/")[2])
+            return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, kind)
+
+        self.keys, self.offsets, self.blocked, self.strings = (load(*x) for x in (("keys", "<u8"), ("offsets", "<i8"), ("blocked", "u1"), ("strings", "u1")))
+        self.lengths = defaultdict(list)
+        for host, path in load("lengths", "<i8").reshape(-1, 2).tolist():
+            self.lengths[host].append(path)
         self.hash_fn = hash_fn
 
     def find(self, candidates: list[str]) -> np.ndarray:
@@ -80,24 +95,36 @@ class DigestArray:
                     out[i] = k
         return out
 
+    def candidates(self, host: str, path: str) -> Iterator[str]:
+        """Suffixes of the host's labels with prefixes of the path, of the lengths that rules have."""
+        for n, paths in self.lengths.items():
+            if n == len(host) or 0 < n < len(host) and host[-n - 1] == ".":
+                own = host[len(host) - n :]
+                yield from (own + path[:k] for k in paths if k <= len(path))
+
     def judge(self, parts: list[tuple[str, str]]) -> list[tuple[str | None, bool | None]]:
         """Rule and whether it blocks, for each (host, path); the longest rule wins, then that with the longer host."""
-        candidates, owner = [], []
-        lengths = self.lengths.tolist()
+        best: list[tuple[str | None, bool | None]] = [(None, None)] * len(parts)
+        rank = lambda r: (len(r), r.index("/"))
+        probes, owner = [], []
+
+        def probe() -> None:
+            found = self.find(probes)
+            for i in np.flatnonzero(found >= 0):
+                n, rule = owner[i], probes[i]
+                if best[n][0] is None or rank(rule) > rank(best[n][0]):
+                    best[n] = (rule, bool(self.blocked[found[i]]))
+            probes.clear()
+            owner.clear()
+
         for n, (host, path) in enumerate(parts):
-            labels = host.split(".") if host else []
-            for i in range(len(labels)):
-                suffix = ".".join(labels[i:])
-                own = [suffix + path[:k] for k in lengths if k <= len(path)]
-                candidates += own
+            if host:
+                own = list(self.candidates(host, path))
+                probes += own
                 owner += [n] * len(own)
-        best: list[tuple[str | None, bool | None]] = [(None, None)] * len(parts)
-        found = self.find(candidates)
-        for i in np.flatnonzero(found >= 0):
-            n, rule = owner[i], candidates[i]
-            rank = lambda r: (len(r), r.index("/"))
-            if best[n][0] is None or rank(rule) > rank(best[n][0]):
-                best[n] = (rule, bool(self.blocked[found[i]]))
+            if len(probes) >= PROBES:
+                probe()
+        probe()
         return best
 
 
@@ -106,7 +133,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], id_col: str
 
     rules: (verdict, ``host/path``) pairs; each must hold a slash. A url that is null or has no
     ``://`` has an empty host and path, fits no rule and gets ``default``, as does any url that no
-    rule fits. Repeated rows are judged alike; an empty table gives no rows. Other columns are
+    rule fits. A url of any length is taken whole, and costs no more probes than rules have
+    different lengths. Repeated rows are judged alike; an empty table gives no rows. Other columns are
     ignored.
     """
     address = write_index(pages.sparkSession, rules, hash_fn=hash_fn)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import open_system
-from .shared import fresh_path, write_out
+from .shared import fresh_path, is_small, write_out
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -189,13 +189,20 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """row_id, url, html, digest, refers_to: null for a response, else the row_id of the response.
 
     Only digests are grouped, with partial counts first, so that one payload with a third of all
-    rows costs a row a task. Payloads are equal if their SHA-256 and length are.
+    rows costs a row a task. The groups of several rows are written out. Few of them are
+    broadcast, and no payload is shuffled. Else the rows that have a digest are joined with them,
+    both sides dealt for that join alone, so AQE may split a hot payload; the small payloads, which
+    have none, aren't shuffled. Payloads are equal if their SHA-256 and length are.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("same", F.when(F.octet_length("html") >= LEAST_REVISIT, F.unhex(F.sha2("html", 256))))
     groups = rows.filter("same is not null").groupBy("same").agg(F.max("row_id").alias("first_id"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1 and first_id is not null").select("same", "first_id")
-    found = rows.join(groups, "same", "left")
+    groups = write_out(groups.filter("n > 1 and first_id is not null").select("same", "first_id"), "warc-groups")
+    if is_small(groups):
+        found = rows.join(F.broadcast(groups), "same", "left")
+    else:
+        alone = rows.filter("same is null").withColumn("first_id", F.lit(None).cast("long"))
+        found = rows.filter("same is not null").join(groups, "same", "left").unionByName(alone)
     later = F.when(F.col("row_id").isNull() | (F.col("row_id") < F.col("first_id")), F.col("first_id"))
     return found.select("row_id", "url", "html", F.sha1("html").alias("digest"), later.alias("refers_to"))
 
@@ -272,8 +279,9 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Of records with equal payloads of at least 1000 bytes, that with the largest id is the
     response and the others revisit it. Rows that repeat that id are responses too, and each row
     has a record of its own. A null html is an empty payload. A null id has an empty record id and
-    never becomes the response of a group that has another. An empty table writes no archive and
-    gives no rows. Other columns are ignored.
+    never becomes the response of a group that has another. A payload of any length is one record,
+    held in memory by the task that writes or reads it. An empty table writes no archive and gives
+    no rows. Other columns are ignored.
     """
     planned = plan_records(pages, id_col, url_col, html_col)
     return read_archives(write_archives(planned, address or fresh_path(pages.sparkSession, "warc")), with_payload)
