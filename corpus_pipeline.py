@@ -42,8 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 400-byte strings that occur twice go from the texts; a character that is cut goes whole. n_chars follows."""
     cut = suffix_dedup(docs, with_row=True)
-    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*(F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row")["n_chars"])
+    changed = {"text": F.col("kept_text"), "n_chars": n_chars}
+    return cut.select(*((changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
