@@ -32,18 +32,25 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import forget, write_out
-from .simhash import fingerprint, fuzzy_keys, shingle_hashes
-from .substring import mix
+from .simhash import fingerprint, fuzzy_keys
+from .substring import mix, rolling, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS = 6
 BANDS = 32
 BLOCK = 1024
-_SCALES, _SHIFTS = (mix(np.arange(i, i + ROWS * BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1) for i in (1, 1 << 20))
+_BASE = 0x9E3779B97F4A7C15
+_SCALES, _SHIFTS = ((mix(np.arange(i, i + ROWS * BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for i in (1, 1 << 20))
 _CLASS = ["d0", "d1"]
 
 
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """A hash of each shingle of lower-cased words, repeats included, by a polynomial of the words' hashes; fewer words are one shingle, none give none."""
+    words = (text or "").encode().lower().split()
+    return rolling(word_hashes(words, 0), min(shingle, len(words)), _BASE) if words else np.empty(0, dtype="<u8")
+
+
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The different word shingles of a text as sorted hashes."""
     return np.unique(shingle_hashes(text, shingle)).astype("<u8")
@@ -53,11 +60,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     """The MinHash key of each band; none without shingles."""
     if not len(hashes):
         return np.empty(0, dtype="<u8")
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), 1024):
-        least = np.minimum(least, (hashes[i : i + 1024, None] * _SCALES + _SHIFTS).min(axis=0))
+    half = (hashes >> np.uint64(32)).astype(np.uint32)  # numbers of 32 bits are multiplied several at a time
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    room = np.empty((128, ROWS * BANDS), dtype=np.uint32)
+    for i in range(0, len(half), 128):
+        part = half[i : i + 128, None]
+        own = np.multiply(part, _SCALES, out=room[: len(part)])
+        own += _SHIFTS
+        np.minimum(least, own.min(axis=0), out=least)
     key = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for row in least.reshape(ROWS, BANDS):
+    for row in least.reshape(ROWS, BANDS).astype(np.uint64):
         key = mix(key ^ row)
     return key.astype("<u8")
 
@@ -231,8 +243,8 @@ def sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return one.mapInArrow(made, "node long, held binary")
 
 
-def links(texts: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """a, b: links between classes, enough of them for every component.
+def similar_components(texts: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """node, root of each class that is linked to another.
 
     texts: (doc_id, text); classes: (node, d0, d1, keys), written out.
     """
@@ -248,10 +260,19 @@ def links(texts: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similari
     large = shared.filter(F.col("n") > block)
     found = links_of_small(shared.filter(F.col("n") <= block), sets, similarity).unionByName(links_to_leaders(large, sets, similarity))
     found = write_out(_ordered(found), "similar-links")
-    odd = links_of_odd(large, sets, components(found), similarity, block)
-    out = write_out(_ordered(found.unionByName(odd)), "similar-all")
+    roots = write_out(components(found), "similar-roots")
+    odd = write_out(_ordered(links_of_odd(large, sets, roots, similarity, block)), "similar-odd")
     forget(shared, sets, found)
-    return out
+    if odd.isEmpty():
+        return roots
+    # the links of the odd members join components, which stand for their members
+    end = lambda e: F.coalesce(F.col(f"r{e}"), F.col(e)).alias(e)
+    ends = odd
+    for e in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}")), e, "left")
+    above = write_out(components(ends.select(end("a"), end("b"))), "similar-above")
+    below = roots.select("node", F.col("root").alias("up")).join(above.select(F.col("node").alias("up"), "root"), "up", "left")
+    return below.select("node", F.coalesce("root", "up").alias("root")).unionByName(above.join(roots.select("node"), "node", "left_anti"))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -279,7 +300,7 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = prints.filter("doc_id is not null")
     classes = named.groupBy(*_CLASS).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     classes = write_out(classes.select("node", *_CLASS, "keys"), "similar-classes")
-    roots = components(links(rows, classes, shingle, similarity, block))
+    roots = similar_components(rows, classes, shingle, similarity, block)
     placed = write_out(classes.join(roots, "node", "left").select(*_CLASS, F.coalesce("root", "node").alias("component_id")), "similar-placed")
     forget(classes)
     alone = prints.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"))
