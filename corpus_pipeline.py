@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read by the next.
 
-Each stage but the last returns the columns of ``documents``. Rows are dropped by joining the ids
-that stay, so repeated rows share a fate and no row is multiplied.
+Each stage but the last returns the columns of ``documents``. Rows are dropped by the ids that go,
+so repeated rows share a fate and no row is multiplied.
 """
 
 from __future__ import annotations
@@ -13,30 +13,34 @@ from weftgraph.llm.exact import exact_dedup
 from weftgraph.llm.hostrules import host_rules
 from weftgraph.llm.packing import pack
 from weftgraph.llm.queries import tokenizer
-from weftgraph.llm.shared import write_out
+from weftgraph.llm.shared import small_enough, write_out
 from weftgraph.llm.similar import similar_dedup
 from weftgraph.llm.suffix import suffix_dedup
 
 
-def _staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id, null among them, is in ``ids`` (a column ``stays``)."""
-    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["stays"]), "left_semi")
+def _staying(docs: DataFrame, verdicts: DataFrame, what: str) -> DataFrame:
+    """The rows of ``docs`` whose id, null among them, has a verdict (doc_id, stays) that holds.
+
+    The few ids that go are written out and, if they are small, broadcast, so that texts aren't shuffled.
+    """
+    gone = verdicts.groupBy("doc_id").agg(F.max("stays").alias("stays")).filter("not stays").select(F.col("doc_id").alias("gone"))
+    gone = write_out(gone, f"gone-{what}")
+    return docs.join(small_enough(gone), docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their host's verdict reject go."""
-    return _staying(docs, host_rules(docs).filter("kept").select(F.col("doc_id").alias("stays")))
+    return _staying(docs, host_rules(docs).select("doc_id", F.col("kept").alias("stays")), "rules")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    return _staying(docs, exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("stays")))
+    return _staying(docs, exact_dedup(docs).select("doc_id", F.col("kept").alias("stays")), "exact")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
-    found = similar_dedup(docs).filter("doc_id <=> component_id")
-    return _staying(docs, found.select(F.col("doc_id").alias("stays")))
+    return _staying(docs, similar_dedup(docs).select("doc_id", F.expr("doc_id <=> component_id").alias("stays")), "near")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
