@@ -23,11 +23,13 @@ a window is removed only if all of its words were seen before.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +40,6 @@ WINDOW = 20
 GRAM = 8
 BATCHES = 4
 FAN_IN = 2
-#: Texts are handled together up to so many words, so arrays stay small.
-_CHUNK_WORDS = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -75,16 +75,6 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(part[: len(part) - (width - size)], part[width - size :]) if width > size else part
 
 
-def anchors_of(grams: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the smallest value of some window of ``width`` values."""
-    if len(grams) < width:
-        return np.empty(0, dtype=np.int64)
-    least = sliding(grams, width, np.minimum)
-    # the largest window minimum among the windows over a place is its own value just if it is an anchor
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    return np.flatnonzero(sliding(padded, width, np.maximum) == grams)
-
-
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest of each ``width`` consecutive values."""
     at = np.arange(len(values), dtype=np.int64)
@@ -98,6 +88,17 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return better(at[: len(at) - (width - size)], at[width - size :]) if width > size else at
 
 
+_PLACE_BITS = np.uint64((1 << 24) - 1)
+
+
+def anchors(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost of those with the smallest upper 40 bits among each ``width`` consecutive values."""
+    upper = values & ~_PLACE_BITS
+    if len(values) > int(_PLACE_BITS):
+        return leftmost_least(upper, width)
+    return (sliding(upper | np.arange(len(values), dtype=np.uint64), width, np.minimum) & _PLACE_BITS).astype(np.int64)
+
+
 def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w, seed) for w in words), dtype=np.uint64, count=len(words))
@@ -107,8 +108,23 @@ def words_in(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def window_digests(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(rolling(word_hashes(words, seed), window, base) for seed, base in enumerate(_BASES))
+class Joined:
+    """The words of several texts laid end to end: two hashes of each, the text that it is in, and where texts start."""
+
+    def __init__(self, texts: list[str | None], window: int):
+        held = [words_in(t) for t in texts]
+        counts = np.array([len(w) for w in held], dtype=np.int64)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, itertools.chain.from_iterable(held))), dtype="<u8").reshape(-1, 2)
+        self.one, self.two = (np.ascontiguousarray(digests[:, i]) for i in (0, 1))
+        self.owner, self.starts, self.window = np.repeat(np.arange(len(held)), counts), np.cumsum(counts) - counts, window
+
+    def whole(self) -> np.ndarray:
+        """Places of the windows that lie in one text."""
+        return np.flatnonzero(self.owner[: max(0, len(self.owner) - self.window + 1)] == self.owner[self.window - 1 :])
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the window at each place."""
+        return rolling(self.one, self.window, _BASES[0]), rolling(self.two, self.window, _BASES[1])
 
 
 CONTEXT = "hash long, high long, low long, doc_id long, place int, n int"
@@ -119,32 +135,22 @@ def contexts(docs: DataFrame, window: int, gram: int) -> DataFrame:
     width, (one, two) = window - gram + 1, (np.uint64(b) for b in _BASES)
     names = [x.split()[0] for x in CONTEXT.split(", ")]
 
-    def batch(parts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
-
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, held = [], 0
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                words = words_in(text.as_py())
-                if len(words) < window:
-                    continue
-                hashes = word_hashes(words, 0)
-                grams = rolling(hashes, gram, _BASES[0])
-                at = leftmost_least(grams, width)
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                last = np.concatenate([first[1:], [len(at)]]) - 1
-                high, low = rolling(hashes, window, _BASES[0]), rolling(word_hashes(words, 1), window, _BASES[1])
-                n = (last - first + 1).astype(np.uint64)
-                # the first and the last window hold all words of the run between them
-                digests = (mix(x[first] * one + x[last] * two + n).view(np.int64) for x in (high, low))
-                parts.append((grams[at[first]].view(np.int64), *digests, np.full(len(first), doc, dtype=np.int64), first.astype(np.int32), n.astype(np.int32)))
-                held += len(first)
-                if held > _CHUNK_WORDS:
-                    yield batch(parts)
-                    parts, held = [], 0
-            if held:
-                yield batch(parts)
+            held = Joined(b.column("text").to_pylist(), window)
+            places = held.whole()
+            if not len(places):
+                continue
+            grams = rolling(held.one, gram, _BASES[0])
+            at = anchors(grams, width)[places]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            n = np.diff(np.concatenate([first, [len(at)]]))
+            at, first = at[first], places[first]
+            # the first and the last window hold all words of the run between them
+            digests = (mix(x[first] * one + x[first + n - 1] * two + n.astype(np.uint64)).view(np.int64) for x in held.digests())
+            own = held.owner[first]
+            columns = (grams[at].view(np.int64), *digests, b.column("doc_id").to_numpy(zero_copy_only=False)[own], (first - held.starts[own]).astype(np.int32), n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return docs.mapInArrow(found, CONTEXT)
 
@@ -232,24 +238,20 @@ def windows_in(texts: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
     """high, low, doc_id, place for each window of the runs in ``firsts`` (doc_id, place, n)."""
     per_doc = write_out(firsts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("own")), "window-runs")
 
-    def batch(parts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["high", "low", "doc_id", "place"])
-
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, held = [], 0
-            for doc, text, own in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("own"), strict=True):
-                high, low = window_digests(words_in(text.as_py()), window)
-                place, n = (own.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                at = np.unique(np.repeat(place, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                at = at[at < len(high)]
-                parts.append((high[at].view(np.int64), low[at].view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32)))
-                held += len(at)
-                if held > _CHUNK_WORDS:
-                    yield batch(parts)
-                    parts, held = [], 0
-            if held:
-                yield batch(parts)
+            held = Joined(b.column("text").to_pylist(), window)
+            high, low = held.digests()
+            runs, owner = pc.list_flatten(b.column("own")), pc.list_parent_indices(b.column("own")).to_numpy(zero_copy_only=False)
+            place, n = (runs.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            at = np.repeat(place + held.starts[owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            inside = at < len(high)  # a text of repeated rows may be shorter than the one that the run was found in
+            at, owner = at[inside], np.repeat(owner, n)[inside]
+            one_text = (held.owner[at] == owner) & (held.owner[at + window - 1] == owner)
+            at = np.unique(at[one_text])
+            own = held.owner[at]
+            columns = (high[at].view(np.int64), low[at].view(np.int64), b.column("doc_id").to_numpy(zero_copy_only=False)[own], (at - held.starts[own]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["high", "low", "doc_id", "place"])
 
     return _texts_with(texts, per_doc).mapInArrow(found, "high long, low long, doc_id long, place int")
 

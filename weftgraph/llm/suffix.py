@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
-Which suffixes. A 400-byte window is found by its anchor: the leftmost smallest of the hashes of
-the 32-byte grams in it. Equal windows have equal anchors at equal offsets, so only anchors whose
+Which suffixes. A 400-byte window is found by its anchor: the leftmost smallest, by its upper bits,
+of the hashes of the 32-byte grams in it. Equal windows have equal anchors at equal offsets, so only anchors whose
 hash occurs twice matter, and suffixes that start equal windows lie in one bucket, named by the
 anchor's hash and the offset. For each such anchor occurrence the bytes of its windows are cut out
 (a context); equal contexts are collapsed before anything is sorted.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import forget, small_enough, write_out
-from .substring import anchors_of, leftmost_least, mix, rolling, with_lists
+from .substring import anchors, mix, rolling, with_lists
 
 WINDOW = 400
 GRAM = 32
@@ -63,7 +63,8 @@ def anchor_entries(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 if len(data) < window:
                     continue
                 grams = gram_hashes(data, gram)
-                own, n = np.unique(grams[anchors_of(grams, window - gram + 1)], return_counts=True)
+                at = anchors(grams, window - gram + 1)
+                own, n = np.unique(grams[at[np.concatenate([[True], at[1:] != at[:-1]])]], return_counts=True)
                 hashes.append(own)
                 times.append(n)
                 ids.append(np.full(len(own), doc, dtype=np.int64))
@@ -91,7 +92,7 @@ def contexts(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 if len(raw) < window:
                     continue
                 grams = gram_hashes(np.frombuffer(raw, dtype=np.uint8), gram)
-                at = leftmost_least(grams, window - gram + 1)
+                at = anchors(grams, window - gram + 1)
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 last = np.concatenate([first[1:], [len(at)]])
                 own = grams[at[first]].view(np.int64)
