@@ -267,13 +267,14 @@ def later_places(texts: DataFrame, held: DataFrame, low: int, window: int) -> Da
     whole = write_out(whole.select(*_PLACE, "n"), "window-whole")
     forget(held)
 
-    differing = kinds.groupBy("hash").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("hash")
+    # written, so that AQE may split the join of a hot hash
+    differing = write_out(kinds.groupBy("hash").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("hash"), "window-differing")
     windows = write_out(windows_in(texts, kinds.join(differing, "hash").select("first.*"), window), "windows")
     first = windows.groupBy("high", "low").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     single = windows.filter(F.col("doc_id") >= low).join(first, ["high", "low"]).filter(F.struct(*_PLACE) != F.col("first"))
     runs = whole.unionByName(single.select(*_PLACE, F.lit(1).alias("n")))
     out = write_out(runs.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("own")), "window-later")
-    forget(kinds, whole, windows)
+    forget(kinds, whole, differing, windows)
     return out
 
 
