@@ -111,3 +111,9 @@ def spread(x: Column, width: int, name: str = "o", digits: int | None = 6) -> li
 
 def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
+
+
+def to_half(x: Column) -> Column:
+    """A number with the eleven significant bits of a half, ties to even; for numbers within a half's normal range."""
+    ulp = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - 10)
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / ulp) * ulp)

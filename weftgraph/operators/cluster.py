@@ -12,12 +12,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.ml.feature import MinHashLSH
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.numbering import row_numbers
+from weftgraph.operators.message import symmetrize
+from weftgraph.operators.numbering import bucket_of, row_numbers
 from weftgraph.sources.scratch import cut
 
 
@@ -61,19 +60,38 @@ def community_roots(parents: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the parents hold a cycle")
 
 
+def detect_communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, community of a directed graph: its edges made symmetric, then merged by ``rabbit``."""
+    return rabbit(symmetrize(edges), nodes).select("id", "community")
+
+
 def relabel_edges(edges: DataFrame, order: DataFrame) -> DataFrame:
     """src, dst replaced by their places in ``order`` (id, place)."""
     place = lambda end: order.select(F.col("id").alias(end), F.col("place").alias(f"new_{end}"))
     return edges.join(place("src"), "src").join(place("dst"), "dst").select("eid", F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
 
 
-def lsh_pairs(edges: DataFrame, n: int, least: float = 0.2, tables: int = 16, seed: int = 42) -> DataFrame:
-    """a, b, sim: rows whose neighbour sets collide in a MinHash table and have a similarity of ``least`` or more."""
-    to_vector = F.udf(lambda held: SparseVector(n, sorted(held), [1.0] * len(held)), VectorUDT())
-    sets = neighbours(edges).groupBy("id").agg(F.collect_set("nb").alias("held")).select("id", to_vector("held").alias("v"))
-    model = MinHashLSH(inputCol="v", outputCol="hashes", numHashTables=tables, seed=seed).fit(sets)
-    hit = model.approxSimilarityJoin(sets, sets, 1.0 - least, "distance").filter("datasetA.id < datasetB.id")
-    return hit.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1.0 - F.col("distance")).alias("sim"))
+#: Parameters of the tables' hash functions (a * x + b) modulo a prime.
+HASH_PRIME = 2147483647
+
+
+def table_hash(t: int) -> tuple[int, int]:
+    return (48271 * (2 * t + 3) ** 3) % HASH_PRIME, (16807 * (5 * t + 1) ** 3) % HASH_PRIME
+
+
+def minhashes(edges: DataFrame, tables: int) -> DataFrame:
+    """id, t, h: the smallest hash of each row's neighbours in each table, by one aggregation with partial minima."""
+    hashed = lambda t: (F.col("nb") * table_hash(t)[0] + table_hash(t)[1]) % HASH_PRIME
+    least = neighbours(edges).groupBy("id").agg(*(F.min(hashed(t)).alias(f"h{t}") for t in range(tables)))
+    return least.select("id", F.posexplode(F.array(*(f"h{t}" for t in range(tables)))).alias("t", "h"))
+
+
+def lsh_pairs(edges: DataFrame, least: float = 0.2, tables: int = 16) -> DataFrame:
+    """a, b, sim: rows whose neighbour sets agree in a MinHash table and have a similarity of ``least`` or more."""
+    keys = minhashes(edges, tables)
+    left, right = keys.select(F.col("id").alias("a"), "t", "h"), keys.select(F.col("id").alias("b"), "t", "h")
+    hit = left.join(right, ["t", "h"]).filter("a < b").select("a", "b").distinct()
+    return jaccard(edges, hit).filter(F.col("sim") >= least).select("a", "b", "sim")
 
 
 def _one_task(df: DataFrame, work, schema: str) -> DataFrame:
@@ -131,10 +149,10 @@ def cluster_sets(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return neighbours(edges).join(clusters, "id").select("cluster", "nb").distinct()
 
 
-def cluster_order(first: DataFrame, second: DataFrame) -> DataFrame:
-    """id, place: rows by (second-level cluster, first-level cluster, id)."""
+def cluster_order(first: DataFrame, second: DataFrame, n: int) -> DataFrame:
+    """id, place: rows by (second-level cluster, first-level cluster, id); ids are below ``n``."""
     joined = first.join(second.select(F.col("id").alias("cluster"), F.col("cluster").alias("top")), "cluster", "left")
-    return row_numbers(joined.withColumn("top", F.coalesce("top", "cluster")), ["top", "cluster", "id"], F.lit(0), "place").select("id", "place")
+    return row_numbers(joined.withColumn("top", F.coalesce("top", "cluster")), ["top", "cluster", "id"], bucket_of(F.col("top"), n), "place").select("id", "place")
 
 
 def rabbit(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """Sparse layouts as relations: compressed rows, row windows, blocks and bit masks.
 
 A window is H consecutive destinations; the distinct sources of a window are ranked, and each W
-ranks make a block. Ranks come from windows over one row window's distinct sources, so no sort
-spans the table; running offsets use the two-level sums of ``numbering``.
+ranks make a block. Ranks come from windows over ranges of one row window's distinct sources, so no
+sort spans the table or a hub; running offsets use the two-level sums of ``numbering``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.numbering import bucket_of, row_numbers, running_sum
+from weftgraph.functions import vec
+from weftgraph.operators.message import gather, reduce_edges
+from weftgraph.operators.numbering import bucket_of, ranks, row_numbers, running_sum
 
 
 def div(a: Column | str, b: int) -> Column:
@@ -50,7 +52,7 @@ def offsets(df: DataFrame, spark_n: int, key: str, count: str, inclusive: bool =
 def compact(edges: DataFrame, height: int) -> DataFrame:
     """src, dst, win, rank: distinct edges; rank counts the distinct sources of a window from 1."""
     unique = edges.select("src", "dst").distinct().withColumn("win", div("dst", height))
-    ranked = unique.select("win", "src").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy("src")).cast("long"))
+    ranked = ranks(unique.select("win", "src").distinct(), ["win"], ["src"], "rank").select("win", "src", (F.col("rank") + 1).alias("rank"))
     return unique.join(ranked, ["win", "src"]).select("src", "dst", "win", "rank")
 
 
@@ -143,7 +145,7 @@ def adaptive_masks(edges: DataFrame, n: int, boundary: float, width: int = 16) -
     chosen = adaptive_heights(edges, n, boundary).select("win", "height")
     unique = edges.select("src", "dst").distinct().withColumn("win", div("dst", 16)).join(chosen, "win")
     laid = unique.withColumn("first_row", F.floor(F.col("dst") / F.col("height")).cast("long") * F.col("height"))
-    ranked = laid.select("first_row", "src").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("first_row").orderBy("src")).cast("long") - 1)
+    ranked = ranks(laid.select("first_row", "src").distinct(), ["first_row"], ["src"], "rank")
     joined = laid.join(ranked, ["first_row", "src"])
     cells = joined.select("first_row", "height", div("rank", width).alias("blk"), (F.col("dst") - F.col("first_row")).alias("r"), bit(F.col("rank") % width).alias("b"))
     return cells.groupBy("first_row", "height", "blk", "r").agg(F.bit_or("b").alias("mask"))
@@ -151,7 +153,7 @@ def adaptive_masks(edges: DataFrame, n: int, boundary: float, width: int = 16) -
 
 def edge_slots(edges: DataFrame) -> DataFrame:
     """Edges with ``slot``, their place among the in-edges of their destination by eid."""
-    return edges.withColumn("slot", F.row_number().over(Window.partitionBy("dst").orderBy("eid")).cast("long") - 1)
+    return ranks(edges, ["dst"], ["eid"], "slot").select(*edges.columns, "slot")
 
 
 def slot_table(edges: DataFrame, n: int, per_block: int, no_edge: int) -> DataFrame:
@@ -167,7 +169,7 @@ def slot_table(edges: DataFrame, n: int, per_block: int, no_edge: int) -> DataFr
 
 def pad_rows(edges: DataFrame, multiple: int) -> DataFrame:
     """row, slot, col, val: rows filled to a multiple of entries; the last column repeats with value 0."""
-    own = edges.select(F.col("dst").alias("row"), F.col("src").alias("col"), (F.row_number().over(Window.partitionBy("dst").orderBy("src", "eid")).cast("long") - 1).alias("slot"), F.lit(1.0).alias("val"))
+    own = ranks(edges.select("src", "dst", "eid"), ["dst"], ["src", "eid"], "slot").select(F.col("dst").alias("row"), F.col("src").alias("col"), "slot", F.lit(1.0).alias("val"))
     per = own.groupBy("row").agg((F.max("slot") + 1).alias("n"), F.max_by("col", "slot").alias("col"))
     room = ceil_div(F.col("n"), multiple) * multiple
     padding = per.filter(room > F.col("n")).select("row", "col", F.explode(F.sequence(F.col("n"), room - 1)).alias("slot"), F.lit(0.0).alias("val"))
@@ -179,3 +181,38 @@ def degree_buckets(edges: DataFrame, part_width: int) -> DataFrame:
     per = edges.select("dst", div("src", part_width).alias("part")).groupBy("part", "dst").agg(F.count("*").alias("deg"))
     bucket = F.length(F.bin(F.col("deg") - 1)).cast("int")
     return per.select("part", F.when(F.col("deg") == 1, 0).otherwise(bucket).alias("bucket")).groupBy("part", "bucket").agg(F.count("*").alias("rows"))
+
+
+def type_order(edges: DataFrame, n: int, height: int = 16, width: int = 8) -> DataFrame:
+    """win, nblk, place: the row windows by their number of blocks, the largest first, then by window."""
+    per = window_columns(edges, n, height).select(F.col("id").alias("win"), ceil_div(F.col("cols"), width).alias("nblk"))
+    most = per.agg(F.max("nblk").alias("m")).first().m or 0
+    falls = per.withColumn("_key", F.lit(most) - F.col("nblk"))
+    return row_numbers(falls, ["_key", "win"], bucket_of(F.col("_key"), most + 1), "place").select("win", "nblk", "place")
+
+
+def hybrid_spmm(edges: DataFrame, nodes: DataFrame, part_width: int, width: int) -> DataFrame:
+    """id, out: sum of the sources' rows, in partial sums for each column part and for each power of two that holds a row's degree in it.
+
+    The rows of a part and bucket are of like length, as the layout by hybrid buckets has them; the
+    parts' sums are added last.
+    """
+    parted = edges.select("dst", "src", div("src", part_width).alias("part"))
+    degree = parted.groupBy("part", "dst").agg(F.count("*").alias("deg"))
+    bucket = F.when(F.col("deg") == 1, 0).otherwise(F.length(F.bin(F.col("deg") - 1)).cast("int")).alias("bucket")
+    rows = gather(parted.join(degree.select("part", "dst", bucket), ["part", "dst"]), nodes, "src", {"x": "u"})
+    partial = rows.groupBy("part", "bucket", "dst").agg(vec.sums(F.col("u"), width).alias("p"))
+    return reduce_edges(nodes, partial, F.col("p"), width)
+
+
+def tile_spmm(edges: DataFrame, nodes: DataFrame, n: int, width: int, height: int = 16, columns: int = 8) -> DataFrame:
+    """id, out: sum of the sources' rows over distinct edges, block by block of the condensed layout.
+
+    A block's sources are gathered once; each of its rows sums those that its mask has, and the
+    blocks of a row are added.
+    """
+    masks = row_masks(edges, height, columns)
+    sources = sources_of_windows(edges, n, height).select("win", div("slot", columns).alias("blk"), (F.col("slot") % columns).alias("c"), "src")
+    cells = gather(sources, nodes, "src", {"x": "u"}).join(masks, ["win", "blk"]).filter(F.col("mask").bitwiseAND(bit(F.col("c"))) != 0)
+    partial = cells.groupBy("win", "blk", "r").agg(vec.sums(F.col("u"), width).alias("p")).select((F.col("win") * height + F.col("r")).alias("dst"), "p")
+    return reduce_edges(nodes, partial, F.col("p"), width)

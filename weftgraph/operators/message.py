@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftgraph.functions import vec
 
-#: Relations of types (a row for each node or edge type) are broadcast: the schema bounds them.
 BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "add": lambda a, b: a + b,
     "sub": lambda a, b: a - b,
@@ -33,9 +35,9 @@ def gather(edges: DataFrame, nodes: DataFrame, end: str, columns: dict[str, str]
 
 
 def gather_type(rows: DataFrame, types: DataFrame, key: str, columns: dict[str, str], type_key: str) -> DataFrame:
-    """Columns of a small type relation beside each row."""
+    """Columns of a type relation beside each row. Whether it is broadcast is left to its size: Spark's threshold, or AQE's measure of it."""
     picked = types.select(F.col(type_key).alias("_type"), *(F.col(c).alias(new) for c, new in columns.items()))
-    return rows.join(F.broadcast(picked), rows[key] == picked["_type"]).drop("_type")
+    return rows.join(picked, rows[key] == picked["_type"]).drop("_type")
 
 
 def gather_end_type(edges: DataFrame, nodes: DataFrame, types: DataFrame, end: str, columns: dict[str, str]) -> DataFrame:
@@ -177,3 +179,21 @@ def symmetrize(edges: DataFrame, weight: Column | None = None) -> DataFrame:
 def unused_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     touched = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     return nodes.select("id").join(touched, "id", "left_anti")
+
+
+def reduce_with(nodes: DataFrame, edges: DataFrame, work, schema: str, empty: dict[str, Column], by: str = "dst") -> DataFrame:
+    """id and the columns of ``schema``: what a Python function makes of each node's mailbox.
+
+    For reductions that no aggregation expresses. ``work`` takes a pyarrow table of a node's edges
+    and gives a tuple of values. A mailbox is gathered in one task, so it must fit there; prefer
+    ``reduce_edges`` wherever it can say the same. Nodes without edges get ``empty``.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    target = T.StructType.fromDDL(f"{by} long, {schema}")
+
+    def reduced(mailbox: pa.Table) -> pa.Table:
+        values = [mailbox.column(by)[0].as_py(), *work(mailbox)]
+        return pa.Table.from_arrays([pa.array([v], type=to_arrow_type(f.dataType)) for v, f in zip(values, target.fields, strict=True)], names=target.names)
+
+    grouped = edges.groupBy(by).applyInArrow(reduced, target)
+    return onto_nodes(nodes, grouped, by, {n: empty[n] for n in names})

@@ -144,6 +144,25 @@ def rgcn(graph: Graph, width: int = 4) -> DataFrame:
     return rgcn_layer(graph, nodes, typed_weights(graph, types, width, width, 1), (width, width))
 
 
+def rgcn_by_row(graph: Graph, weights: DataFrame, size: tuple[int, int], norm: str = "norm") -> DataFrame:
+    """id, out: each edge's source row times its own copy of its type's matrix, as a batch of products, times the norm, summed."""
+    own = mp.gather_type(graph.edges, weights, "etype", {"w": "w"}, "type")
+    joined = mp.gather(own, graph.nodes, "src", {"x": "u"})
+    return mp.reduce_edges(graph.nodes, joined, vec.scale(vec.times_matrix_column(F.col("u"), F.col("w"), *size), F.col(norm), size[1]), size[1])
+
+
+def rgcn_by_type(graph: Graph, matrices: list, size: tuple[int, int], norm: str = "norm") -> DataFrame:
+    """id, out: the edges of each type are sliced out and their sums multiplied by that type's one matrix; then the types are added."""
+    out = None
+    for t, matrix in enumerate(matrices):
+        part = graph.edges.filter(F.col("etype") == t)
+        joined = mp.gather(part, graph.nodes, "src", {"x": "u"})
+        summed = joined.groupBy("dst").agg(vec.sums(vec.scale(F.col("u"), F.col(norm), size[0]), size[0]).alias("s"))
+        part = summed.select("dst", vec.times_matrix(F.col("s"), matrix).alias("m"))
+        out = part if out is None else out.unionByName(part)
+    return mp.reduce_edges(graph.nodes, out, F.col("m"), size[1])
+
+
 def basis_weights(graph: Graph, bases: int, size: tuple[int, int]) -> DataFrame:
     """(type, w): each type's matrix is a combination of shared bases, with coefficients ((t + b) % 3 - 1) / 2."""
     spark, types = graph.nodes.sparkSession, graph.etypes.count()

@@ -1,20 +1,28 @@
 """Row numbers and running sums over a whole table without one task that sees it all.
 
-A monotone bucket splits the order into at most a few hundred parts. Within a bucket a window
-does the work; the buckets' totals are a table of as many rows as buckets, whose running sum is
-broadcast and added.
+A monotone bucket splits the order into parts, four for each shuffle partition of the session, so
+that a cluster set up for more data gets more of them. Within a bucket a window does the work; the
+buckets' totals are a table of as many rows as buckets, whose running sum is broadcast and added.
+Ranks within groups split a group by ranges of 65,536 ids, so that no hub is one task's window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+LEAST_BUCKETS = 256
+RANGE_BITS = 16
 
 
-def bucket_of(value: Column, size: int, buckets: int = BUCKETS) -> Column:
+def bucket_count() -> int:
+    """Four for each shuffle partition of the active session."""
+    return max(LEAST_BUCKETS, 4 * int(SparkSession.active().conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucket_of(value: Column, size: int, buckets: int | None = None) -> Column:
     """A bucket that ascends with a value from 0 up to ``size``."""
+    buckets = buckets or bucket_count()
     return F.floor(value.cast("long") * F.lit(buckets) / F.lit(max(1, size))).cast("long")
 
 
@@ -39,3 +47,17 @@ def row_numbers(df: DataFrame, order: list[Column | str], bucket: Column, name:
     joined, keys = _with_offsets(df, bucket, F.lit(1).cast("long"), [])
     own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1
     return joined.withColumn(name, own + F.col("_offset")).drop("_bucket", "_offset")
+
+
+def ranks(df: DataFrame, within: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers from 0 in each group, in a total order whose first column is an id.
+
+    The ids of a group are cut into ranges; ranks within a range and the ranges' running totals add
+    up, so the largest window has the rows of one range, not those of one group.
+    """
+    parts = df.withColumn("_part", F.shiftright(F.col(order[0]).cast("long"), RANGE_BITS))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*within, "_part").agg(F.count("*").alias("_total"))
+    starts = totals.select(*within, "_part", F.coalesce(F.sum("_total").over(before), F.lit(0).cast("long")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order)).cast("long") - 1
+    return parts.withColumn(name, own).join(starts, [*within, "_part"]).withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")

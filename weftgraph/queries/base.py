@@ -24,7 +24,7 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 G1_EDGES = """n AS (SELECT count(*) AS n FROM embeddings),
 edges AS (SELECT CAST(row_number() OVER (ORDER BY src, dst) - 1 AS BIGINT) AS eid, src, dst FROM (
-  SELECT DISTINCT CAST(o_custkey % n AS BIGINT) AS src, CAST(o_orderkey % n AS BIGINT) AS dst FROM orders, n WHERE o_orderstatus = 'F' AND o_orderkey % 10 <> 9))"""
+  SELECT DISTINCT CAST(o_custkey % n AS BIGINT) AS src, CAST(o_orderkey % n AS BIGINT) AS dst FROM orders, n))"""
 X = [f"x{i}" for i in range(4)]
 G1 = G1_EDGES + """,
 nodes AS (SELECT CAST(vec_id AS BIGINT) AS id, """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4)) + " FROM embeddings)"
@@ -32,7 +32,7 @@ nodes AS (SELECT CAST(vec_id AS BIGINT) AS id, """ + ", ".join(f"CAST(embedding[
 G2 = """c AS (SELECT count(*) AS n FROM customer), p AS (SELECT count(*) AS n FROM part), s AS (SELECT count(*) AS n FROM supplier),
 ids AS (SELECT CAST(c_custkey AS BIGINT) AS id, 0 AS ntype FROM customer UNION ALL SELECT p_partkey + c.n, 1 FROM part, c UNION ALL SELECT s_suppkey + c.n + p.n, 2 FROM supplier, c, p),
 nodes AS (SELECT id, ntype, ((3 * id) % 7 - 3) / 4.0::DOUBLE AS x0, ((5 * id) % 11 - 5) / 8.0::DOUBLE AS x1, ((7 * id) % 13 - 6) / 8.0::DOUBLE AS x2, 1.0::DOUBLE AS x3 FROM ids),
-items AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
+items AS (SELECT * FROM lineitem),
 ps AS (SELECT DISTINCT CAST(l_partkey + c.n AS BIGINT) AS src, CAST(l_suppkey + c.n + p.n AS BIGINT) AS dst FROM items, c, p),
 typed AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, CAST(l_partkey + c.n AS BIGINT) AS dst, 0 AS etype FROM items JOIN orders ON l_orderkey = o_orderkey, c
   UNION ALL SELECT src, dst, 1 FROM ps UNION ALL SELECT dst, src, 2 FROM ps),

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from weftgraph.functions import vec
 from weftgraph.operators import cluster
 from weftgraph.operators import message as mp
-from weftgraph.queries.base import G1, G1_EDGES, register
+from weftgraph.queries.base import G1, G1_EDGES, r6, register
 from weftgraph.queries.graphs import on_graph, plain_graph
 from weftgraph.sources.graph import Graph
+from weftgraph.sources.scratch import cut
 
 
 def chains(g: Graph) -> DataFrame:
@@ -23,7 +24,7 @@ def rabbit(g: Graph) -> DataFrame:
 
 
 def pairs(g: Graph, least: float = 0.2) -> DataFrame:
-    return cluster.jaccard(g.edges).filter(F.col("sim") >= least).select("a", "b", "sim")
+    return cluster.lsh_pairs(g.edges, least)
 
 
 def sets(g: Graph) -> DataFrame:
@@ -35,16 +36,16 @@ def greedy(g: Graph) -> DataFrame:
 
 
 def greedy_second(g: Graph, first: DataFrame | None = None) -> DataFrame:
-    first = greedy(g) if first is None else first
+    first = cut(greedy(g), "clusters") if first is None else first
     joined = cluster.cluster_sets(g.edges, first)
     edges = joined.select(F.col("nb").alias("src"), F.col("cluster").alias("dst"))
     held = joined.groupBy(F.col("cluster").alias("id")).agg(F.collect_list("nb").alias("held"))
-    return cluster.greedy_clusters(cluster.jaccard(edges).filter(F.col("sim") >= 0.2).select("a", "b", "sim"), held, 128)
+    return cluster.greedy_clusters(cluster.lsh_pairs(edges, 0.2), held, 128)
 
 
 def order(g: Graph) -> DataFrame:
-    first = greedy(g)
-    return cluster.cluster_order(first, greedy_second(g, first))
+    first = cut(greedy(g), "clusters")
+    return cluster.cluster_order(first, greedy_second(g, first), g.num_nodes)
 
 
 def relabel(g: Graph) -> DataFrame:
@@ -61,7 +62,16 @@ up AS (SELECT id, parent AS root FROM p UNION SELECT up.id, p.parent FROM up JOI
 SELECT id, min(root) AS root FROM up GROUP BY id""",
 )
 register("relabel_edges", on_graph(relabel), f"WITH {G1_EDGES} SELECT eid, (src * 7 + 3) % n AS src, (dst * 7 + 3) % n AS dst FROM edges, n")
-register("lsh_pairs", on_graph(lambda g: cluster.lsh_pairs(g.edges, g.num_nodes).select("a", "b", vec.rounded(F.col("sim")).alias("sim"))))
+_LEAST = ", ".join("min((src * {} + {}) % 2147483647) AS h{}".format(*cluster.table_hash(t), t) for t in range(16))
+_HIT = " OR ".join(f"p.h{t} = q.h{t}" for t in range(16))
+register(
+    "lsh_pairs", on_graph(lambda g: cluster.lsh_pairs(g.edges).select("a", "b", vec.rounded(F.col("sim")).alias("sim")), plain_graph),
+    f"""WITH {G1_EDGES}, near AS (SELECT DISTINCT dst AS id, src FROM edges), h AS (SELECT id, count(*) AS k, {_LEAST} FROM near GROUP BY id),
+hit AS (SELECT p.id AS a, q.id AS b, p.k AS ka, q.k AS kb FROM h p JOIN h q ON p.id < q.id AND ({_HIT})),
+met AS (SELECT a, b, any_value(ka) AS ka, any_value(kb) AS kb, count(*) AS m FROM hit JOIN near x ON x.id = a JOIN near y ON y.id = b AND y.src = x.src GROUP BY a, b)
+SELECT a, b, {r6('m / (ka + kb - m)::DOUBLE', 'sim')} FROM met WHERE m / (ka + kb - m)::DOUBLE >= 0.2""",
+)
 register("greedy_clusters", on_graph(greedy))
 register("greedy_clusters_l2", on_graph(greedy_second))
 register("cluster_order", on_graph(order))
+register("detect_communities", on_graph(lambda g: cluster.detect_communities(g.edges, g.nodes), plain_graph))

@@ -239,9 +239,11 @@ def events_pointer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def change_flag(g: Graph) -> DataFrame:
-    order = Window.partitionBy("win").orderBy("src", "dst", "eid")
+    """1 where the source changes in the order of a window: at the first edge of each window and source, so a window is no group."""
     marked = g.edges.withColumn("win", layout.div("dst", 16))
-    return marked.select("eid", "win", F.coalesce((F.lag("src").over(order) != F.col("src")).cast("int"), F.lit(1)).alias("flag"))
+    first = marked.groupBy("win", "src").agg(F.min(F.struct("dst", "eid")).alias("first"))
+    joined = marked.join(first, ["win", "src"])
+    return joined.select("eid", "win", F.when(F.struct("dst", "eid") == F.col("first"), 1).otherwise(0).alias("flag"))
 
 
 def preprocess_csr(g: Graph) -> DataFrame:
@@ -255,7 +257,7 @@ def row_swizzle(g: Graph, descending: bool = True) -> DataFrame:
     """Rows by falling (or rising) degree; the degrees' histogram gives each row's first place."""
     deg = mp.degrees(g.nodes, g.edges, "dst")
     key = -F.col("deg") if descending else F.col("deg")
-    return row_numbers(deg.withColumn("k", key), ["k", "id"], F.col("k") * 256 + bucket_of(F.col("id"), g.num_nodes), "place").select("id", "deg", "place")
+    return row_numbers(deg.withColumn("k", key), ["k", "id"], F.col("k") * 256 + bucket_of(F.col("id"), g.num_nodes, 256), "place").select("id", "deg", "place")
 
 
 def inverse_perm(g: Graph) -> DataFrame:

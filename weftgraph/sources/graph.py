@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.numbering import bucket_of, row_numbers
+from weftgraph.sources.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def orders_graph(spark: SparkSession, sf_dir: str, width: int = 4, distinct: boo
     """
     vectors = table(spark, sf_dir, "embeddings")
     n = vectors.count()
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' AND o_orderkey % 10 <> 9")
+    orders = table(spark, sf_dir, "orders")
     edges = orders.select((F.col("o_custkey") % n).cast("long").alias("src"), (F.col("o_orderkey") % n).cast("long").alias("dst"))
     edges = edges.distinct() if distinct else edges
     nodes = vectors.select(F.col("vec_id").cast("long").alias("id"), F.slice("embedding", 1, width).cast("array<double>").alias("x"))
@@ -89,7 +90,7 @@ def orders_typed_graph(spark: SparkSession, sf_dir: str, eids: bool = True) -> G
     for t, ((name, key), start) in enumerate(zip(keys, starts, strict=True)):
         part = table(spark, sf_dir, name).select((F.col(key) + start).cast("long").alias("id"), F.lit(t).alias("ntype"))
         nodes = part if nodes is None else nodes.unionByName(part)
-    items = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F'")
+    items = table(spark, sf_dir, "lineitem")
     bought = items.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     customer_part = bought.select(F.col("o_custkey").cast("long").alias("src"), (F.col("l_partkey") + starts[1]).cast("long").alias("dst")).distinct()
     part_supplier = items.select((F.col("l_partkey") + starts[1]).cast("long").alias("src"), (F.col("l_suppkey") + starts[2]).cast("long").alias("dst")).distinct()
@@ -97,6 +98,7 @@ def orders_typed_graph(spark: SparkSession, sf_dir: str, eids: bool = True) -> G
     back = part_supplier.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     edges = typed(customer_part, 0).unionByName(typed(part_supplier, 1)).unionByName(typed(back, 2))
     total = sum(sizes)
+    edges = cut(edges, "typed-edges")  # three joins and two distinct sets stand behind them, and most plans read them more than once
     if eids:
         edges = row_numbers(edges, ["etype", "src", "dst"], bucket_of(F.col("etype") * total + F.col("src"), 3 * total), "eid")
         edges = edges.select("eid", "src", "dst", "etype", ((F.col("eid") % 5 + 1) / F.lit(8.0)).alias("norm"))
@@ -123,6 +125,57 @@ def write_edgelist(edges: DataFrame, path: str, shift: int = 0) -> None:
     edges.select(F.concat_ws("\t", F.col("src") + shift, F.col("dst") + shift).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """eid, src, dst of .npz files with the arrays ``src_li`` and ``dst_li``; eid counts within a file. Each file is read by one task."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def read(batches):
+        for b in batches:
+            for content in b.column("content"):
+                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as held:
+                    src, dst = (np.asarray(held[k], dtype=np.int64) for k in ("src_li", "dst_li"))
+                for i in range(0, len(src), 1 << 16):
+                    own = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(src))[own]), pa.array(src[own]), pa.array(dst[own])], ["eid", "src", "dst"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, "eid long, src long, dst long")
+
+
+#: A Lehmer generator, so that values depend on the seed and the place alone, not on partitions.
+LEHMER, PRIME = 48271, 2147483647
+
+
+def unit(place: Column, seed: int) -> Column:
+    """A number from 0 up to 1 for each place."""
+    first = (place.cast("long") * LEHMER + (seed * 7919 + 1)) % PRIME
+    return ((first * LEHMER) % PRIME) / F.lit(float(PRIME))
+
+
+def random_graph(spark: SparkSession, rows: int, columns: int, share: float, seed: int = 42) -> DataFrame:
+    """src, dst: each pair is an edge with probability ``share``; pairs are made where they are judged."""
+    pairs = spark.range(rows * columns)
+    return pairs.filter(unit(F.col("id"), seed) < share).select((F.col("id") % columns).alias("src"), F.expr(f"id div {columns}").alias("dst"))
+
+
+def random_features(ids: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """id, x: ``width`` numbers from 0 up to 1 for each id."""
+    return ids.select("id", F.array(*(unit(F.col("id") * width + k, seed) for k in range(width))).alias("x"))
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Append rows to a folder of text files, one line each: the columns parted by tabs, empty for null."""
+    rows.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)).alias("value")).write.mode("append").text(path)
+
+
+def read_results(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The lines of ``write_results`` as columns of strings."""
+    parts = spark.read.text(path).select(F.split("value", "\t", -1).alias("f"))
+    return parts.select(*(F.nullif(F.get("f", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)))
+
+
 def batch_graphs(parts: list[tuple[DataFrame, int]]) -> DataFrame:
     """Disjoint union of edge tables: each part's ids start where those of the part before it end."""
     out, start = None, 0
