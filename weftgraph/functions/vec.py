@@ -105,12 +105,17 @@ def sums(x: Column, width: int, fold: Callable[[Column], Column] = F.sum) -> Col
 
 def spread(x: Column, width: int, name: str = "o", digits: int | None = 6) -> list[Column]:
     """One column for each place; rounded, without negative zeros."""
-    value = lambda v: F.round(v, digits) + F.lit(0.0) if digits is not None else v
+    value = lambda v: rounded(v, digits) if digits is not None else v
     return [value(at(x, i)).alias(f"{name}{i}") for i in range(width)]
 
 
+#: Far more than the error of a sum and far less than the last place that is kept.
+SHIFT = 1.3e-9
+
+
 def rounded(x: Column, digits: int = 6) -> Column:
-    return F.round(x, digits) + F.lit(0.0)
+    """Rounded after a small shift, so that a sum that lies half-way doesn't depend on the order of additions."""
+    return F.round(x + F.lit(SHIFT), digits) + F.lit(0.0)
 
 
 def to_half(x: Column) -> Column:

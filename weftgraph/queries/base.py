@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.functions.vec import SHIFT
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -44,7 +46,8 @@ nodes(id, x0) AS (VALUES (0::BIGINT, 1.0::DOUBLE), (1, 2.0), (2, 3.0))"""
 
 
 def r6(expression: str, name: str) -> str:
-    return f"round({expression}, 6) + 0.0 AS {name}"
+    """Six places, after the shift that ``vec.rounded`` has, too: sums of binary fractions can lie half-way, where the order of additions would decide."""
+    return f"round(({expression}) + {SHIFT}, 6) + 0.0 AS {name}"
 
 
 def outs(expressions: list[str], name: str = "o") -> str:

@@ -10,7 +10,7 @@ from weftgraph.operators import cluster
 from weftgraph.operators import message as mp
 from weftgraph.queries.base import G1, G1_EDGES, r6, register
 from weftgraph.queries.graphs import on_graph, plain_graph
-from weftgraph.sources.graph import Graph
+from weftgraph.sources.graph import Graph, dense_windows_graph
 from weftgraph.sources.scratch import cut
 
 
@@ -65,13 +65,13 @@ register("relabel_edges", on_graph(relabel), f"WITH {G1_EDGES} SELECT eid, (src
 _LEAST = ", ".join("min((src * {} + {}) % 2147483647) AS h{}".format(*cluster.table_hash(t), t) for t in range(16))
 _HIT = " OR ".join(f"p.h{t} = q.h{t}" for t in range(16))
 register(
-    "lsh_pairs", on_graph(lambda g: cluster.lsh_pairs(g.edges).select("a", "b", vec.rounded(F.col("sim")).alias("sim")), plain_graph),
+    "lsh_pairs", on_graph(lambda g: cluster.lsh_pairs(g.edges, 0.1).select("a", "b", vec.rounded(F.col("sim")).alias("sim")), plain_graph),
     f"""WITH {G1_EDGES}, near AS (SELECT DISTINCT dst AS id, src FROM edges), h AS (SELECT id, count(*) AS k, {_LEAST} FROM near GROUP BY id),
 hit AS (SELECT p.id AS a, q.id AS b, p.k AS ka, q.k AS kb FROM h p JOIN h q ON p.id < q.id AND ({_HIT})),
 met AS (SELECT a, b, any_value(ka) AS ka, any_value(kb) AS kb, count(*) AS m FROM hit JOIN near x ON x.id = a JOIN near y ON y.id = b AND y.src = x.src GROUP BY a, b)
-SELECT a, b, {r6('m / (ka + kb - m)::DOUBLE', 'sim')} FROM met WHERE m / (ka + kb - m)::DOUBLE >= 0.2""",
+SELECT a, b, {r6('m / (ka + kb - m)::DOUBLE', 'sim')} FROM met WHERE m / (ka + kb - m)::DOUBLE >= 0.1""",
 )
-register("greedy_clusters", on_graph(greedy))
-register("greedy_clusters_l2", on_graph(greedy_second))
-register("cluster_order", on_graph(order))
+register("greedy_clusters", on_graph(greedy, dense_windows_graph))
+register("greedy_clusters_l2", on_graph(greedy_second, dense_windows_graph))
+register("cluster_order", on_graph(order, dense_windows_graph))
 register("detect_communities", on_graph(lambda g: cluster.detect_communities(g.edges, g.nodes), plain_graph))
