@@ -142,3 +142,40 @@ def test_results_are_read_as_written(spark):
     rows = [("a b", 1.5, None), ("", 2.0, 3)]
     sources.write_results(spark.createDataFrame(rows, "tag string, value double, n long"), path)
     assert {tuple(r) for r in sources.read_results(spark, path, ["tag", "value", "n"]).collect()} == {("a b", "1.5", None), (None, "2.0", "3")}
+
+
+def test_components(spark):
+    """A path, a ring, a star, a loop and repeated pairs; each root is the smallest id of its component."""
+    path, ring, star = [(k, k + 1) for k in range(10, 30)], [(k, 40 + (k - 39) % 9) for k in range(40, 49)], [(99, k) for k in range(60, 70)]
+    pairs = spark.createDataFrame(path + ring + star + [(5, 5), (12, 11), (99, 60)], "a long, b long")
+    want = dict.fromkeys(range(10, 31), 10) | dict.fromkeys(range(40, 49), 40) | dict.fromkeys([*range(60, 70), 99], 60)
+    assert {r.id: r.root for r in cluster.components(pairs.repartition(4)).collect()} == want
+    assert cluster.components(pairs.limit(0)).collect() == []
+
+
+def test_clusterings_of_many_components(spark, drawn):
+    """Copies of one graph, dealt to several tasks, are clustered as they are alone; nodes without edges stay alone."""
+    n, a = drawn
+    arcs = [(c * 50 + int(s), c * 50 + int(d)) for c in range(6) for s, d in np.argwhere(a[:14, :14])]
+    edges = spark.createDataFrame([(k, *e) for k, e in enumerate(arcs)], "eid long, src long, dst long")
+    nodes = spark.range(300)
+    whole = np.zeros((300, 300), dtype=bool)
+    for s, d in arcs:
+        whole[s, d] = True
+    found = cluster.rabbit(mp.symmetrize(edges), nodes).collect()
+    assert {r.id: r.community for r in found} == plain_communities(300, whole)
+    assert sorted(r.place for r in found) == list(range(300))
+
+    near = {d: set(np.flatnonzero(whole[:, d]).tolist()) for d in np.flatnonzero(whole.any(axis=0)).tolist()}
+    pairs = [(r.a, r.b, r.sim) for r in cluster.jaccard(edges).filter("sim >= 0.3").collect()]
+    held = spark.createDataFrame([(i, sorted(h)) for i, h in near.items()], "id long, held array<long>")
+    clustered = cluster.greedy_clusters(spark.createDataFrame(pairs, "a long, b long, sim double"), held, 5)
+    assert {r.id: r.cluster for r in clustered.collect()} == plain_greedy(pairs, near, 5)
+
+
+def test_clusterings_of_empty_graphs(spark):
+    edges = spark.createDataFrame([], "src long, dst long, w double")
+    assert [(r.id, r.community, r.place) for r in cluster.rabbit(edges, spark.range(2)).orderBy("id").collect()] == [(0, 0, 0), (1, 1, 1)]
+    assert cluster.rabbit(edges, spark.range(0)).collect() == []
+    sets = spark.createDataFrame([(7, [1])], "id long, held array<long>")
+    assert [tuple(r) for r in cluster.greedy_clusters(spark.createDataFrame([], "a long, b long, sim double"), sets, 4).collect()] == [(7, 7)]

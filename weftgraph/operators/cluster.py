@@ -1,8 +1,9 @@
 """Similarity, communities and orders of vertices.
 
 Similarities, modularity and relabelling are relational. The two greedy clusterings are sequential
-by definition: the choice at each step depends on all before it. They run in one task over the
-candidate pairs or the weighted edges of one connected graph, streamed in as Arrow batches.
+by definition: the choice at each step depends on all before it in the same connected component of
+the candidate pairs or the weighted edges, and on nothing outside it. So each component is one
+sequential step, components are dealt to tasks, and a task holds one of them at a time.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,16 +97,42 @@ def lsh_pairs(edges: DataFrame, least: float = 0.2, tables: int = 16) -> DataFra
     return jaccard(edges, hit).filter(F.col("sim") >= least).select("a", "b", "sim")
 
 
-def _one_task(df: DataFrame, work, schema: str) -> DataFrame:
-    """Run a sequential step over all rows, sorted by its caller, in one task."""
+def components(pairs: DataFrame) -> DataFrame:
+    """id, root for each end of the pairs (a, b) of different ids; root is the smallest id that it reaches.
+
+    Each round points every node at its least neighbour, resolves the pointers and contracts the
+    pairs to the roots, which halves the nodes that are left at least.
+    """
+    left = cut(pairs.filter("a <> b").select("a", "b").distinct(), "links")
+    home = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("root", F.col("id"))
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        roots = cut(community_roots(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("parent"))), "components")
+        end = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
+        home = cut(home.join(end("root"), "root", "left").select("id", F.coalesce("root_root", "root").alias("root")), "components")
+        left = cut(left.join(end("a"), "a").join(end("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b").distinct(), "links")
+    return home
+
+
+def _each_component(df: DataFrame, work, schema: str) -> DataFrame:
+    """Run a sequential step over the rows of each ``root`` (the first column)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
-        out = work(rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], [x.split()[0] for x in schema.split(", ")])
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        done = []
+        for _, own in groupby(rows, key=itemgetter(0)):
+            done += work([r[1:] for r in own])
+            if len(done) >= 10_000:
+                yield batch(done)
+                done = []
+        if done:
+            yield batch(done)
 
-    return df.coalesce(1).mapInArrow(run, schema)
+    return df.repartition("root").sortWithinPartitions("root").mapInArrow(run, schema)
 
 
 def greedy_clusters(pairs: DataFrame, sets: DataFrame, closes_at: int) -> DataFrame:
@@ -111,9 +140,13 @@ def greedy_clusters(pairs: DataFrame, sets: DataFrame, closes_at: int) -> DataFr
 
     pairs: (a, b, sim); sets: (id, held) with the neighbours of each row.
     """
-    tagged = pairs.select(F.lit(0).alias("k"), "a", "b", "sim", F.lit(None).cast("array<long>").alias("held")).unionByName(
-        sets.select(F.lit(1).alias("k"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("sim"), F.col("held").cast("array<long>"))
+    pairs = cut(pairs.select("a", "b", "sim"), "pairs")
+    home = components(pairs)
+    queued = pairs.join(home.withColumnRenamed("id", "a"), "a").select("root", F.lit(0).alias("k"), "a", "b", "sim", F.lit(None).cast("array<long>").alias("held"))
+    tagged = queued.unionByName(
+        sets.join(home, "id").select("root", F.lit(1).alias("k"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("sim"), F.col("held").cast("array<long>"))
     )
+    alone = sets.join(home, "id", "left_anti").select("id", F.col("id").alias("cluster"))
 
     def work(rows: list[tuple]) -> list[tuple]:
         held = {a: set(h) for k, a, _, _, h in rows if k == 1}
@@ -141,7 +174,7 @@ def greedy_clusters(pairs: DataFrame, sets: DataFrame, closes_at: int) -> DataFr
                 heapq.heappush(queue, (-len(held[x] & held[y]) / max(1, len(held[x] | held[y])), *pair))
         return sorted((a, find(a)) for a in held)
 
-    return _one_task(tagged, work, "id long, cluster long")
+    return _each_component(tagged, work, "id long, cluster long").union(alone)
 
 
 def cluster_sets(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -161,16 +194,16 @@ def rabbit(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     edges: symmetric (src, dst, w). Ties go to the lowest id. Places number each community
     depth-first from its root, communities by root.
     """
-    tagged = edges.select("src", "dst", "w").unionByName(nodes.select(F.col("id").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).alias("w")))
+    edges = cut(edges.select("src", "dst", "w"), "weights")
+    home = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    total = edges.agg(F.sum("w").alias("w")).first().w
 
     def work(rows: list[tuple]) -> list[tuple]:
         near: dict[int, dict[int, float]] = defaultdict(dict)
         for s, d, w in rows:
-            near[s]
-            if d >= 0:
-                near[s][d] = near[s].get(d, 0.0) + w
+            near[s][d] = near[s].get(d, 0.0) + w
         strength = {v: sum(e.values()) for v, e in near.items()}
-        total, parent, children = sum(strength.values()), {}, defaultdict(list)
+        parent, children = {}, defaultdict(list)
 
         def find(x: int) -> int:
             while x in parent:
@@ -192,14 +225,18 @@ def rabbit(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             for u, w in joined.items():
                 if u != best:
                     near[best][u] = near[best].get(u, 0.0) + w
-        out, place = [], 0
-        for r in sorted(v for v in near if v not in parent):
-            stack = [r]
+        out = []
+        for r in (v for v in near if v not in parent):
+            stack, inner = [r], 0
             while stack:
                 v = stack.pop()
-                out.append((v, r, place))
-                place += 1
+                out.append((v, r, inner))
+                inner += 1
                 stack += sorted(children[v], reverse=True)
         return out
 
-    return _one_task(tagged, work, "id long, community long, place long")
+    merged = _each_component(edges.join(home.withColumnRenamed("id", "src"), "src").select("root", "src", "dst", "w"), work, "id long, community long, inner long")
+    alone = nodes.join(home, "id", "left_anti").select("id", F.col("id").alias("community"), F.lit(0).cast("long").alias("inner"))
+    placed = cut(merged.union(alone), "communities")
+    size = (placed.agg(F.max("community").alias("c")).first().c or 0) + 1
+    return row_numbers(placed, ["community", "inner"], bucket_of(F.col("community"), size), "place").select("id", "community", "place")
