@@ -107,11 +107,11 @@ def components(pairs: DataFrame) -> DataFrame:
     home = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("root", F.col("id"))
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        roots = cut(community_roots(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("parent"))), "components")
+        roots = community_roots(cut(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("parent")), "parents"))
         end = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
-        home = cut(home.join(end("root"), "root", "left").select("id", F.coalesce("root_root", "root").alias("root")), "components")
+        home = home.join(end("root"), "root", "left").select("id", F.coalesce("root_root", "root").alias("root"))
         left = cut(left.join(end("a"), "a").join(end("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b").distinct(), "links")
-    return home
+    return cut(home, "components")
 
 
 def _each_component(df: DataFrame, work, schema: str) -> DataFrame:
