@@ -40,7 +40,7 @@ WINDOW = 400
 GRAM = 32
 COVER_MODULUS = 13
 COVER = (0, 1, 4, 6)  # every difference modulo 13 occurs in it
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 MOST_CONTEXTS = 2048
 RANGES = 12  # of offsets, for the crops of an anchor with more contexts
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
