@@ -174,12 +174,13 @@ def basis_weights(graph: Graph, bases: int, size: tuple[int, int]) -> DataFrame:
 
 def rgcn_hetero(graph: Graph, width: int = 4, bases: int = 2, bias: float = 0.25, self_loop: bool = True) -> DataFrame:
     """id, out: mean for each edge type times its basis-composed matrix, summed over types, with bias and a self-loop matrix, then relu."""
-    joined = mp.gather(graph.edges, graph.nodes, "src", {"x": "x"})
+    nodes = graph.nodes_to_join()
+    joined = mp.gather(graph.edges, nodes, "src", {"x": "x"})
     means = joined.groupBy("dst", "etype").agg(vec.sums(F.col("x"), width, F.avg).alias("h"))
     messages = mp.typed_matmul(means, basis_weights(graph, bases, (width, width)), "etype", "h", (width, width), "m")
     summed = mp.reduce_edges(graph.nodes, messages, F.col("m"), width)
     own = vec.times_matrix(F.col("x"), w_matrix(width, width, 7)) if self_loop else mp.zeros(width)
-    both = summed.join(graph.nodes.select("id", own.alias("own")), "id")
+    both = summed.join(nodes.select("id", own.alias("own")), "id")
     return both.select("id", vec.both(lambda a, b: vec.relu(a + b + bias), F.col("out"), F.col("own"), width).alias("out"))
 
 

@@ -11,6 +11,10 @@ from weftgraph.operators.numbering import bucket_of, row_numbers
 from weftgraph.sources.scratch import cut
 
 
+#: More nodes than this are never broadcast: as a hashed relation, so many rows of four numbers take some 16 MB.
+BROADCAST_NODES = 1 << 17
+
+
 @dataclass(frozen=True)
 class Graph:
     """nodes(id, features…) and edges(eid, src, dst, features…); typed graphs add ntype and etype.
@@ -31,6 +35,14 @@ class Graph:
     def with_edges(self, edges: DataFrame) -> Graph:
         return replace(self, edges=edges)
 
+    def nodes_to_join(self) -> DataFrame:
+        """The nodes, marked so that joins on their ids shuffle if they are too many to broadcast.
+
+        Spark's own estimate goes by compressed files, and dense ids with features computed from
+        them take some fifty times as much in the driver.
+        """
+        return self.nodes.hint("merge") if self.num_nodes > BROADCAST_NODES else self.nodes
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
