@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.conftest import text
-from weftgraph.llm import similar
+from weftgraph.llm import shared, similar
 from weftgraph.llm.queries import tokenizer
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -166,3 +166,33 @@ def test_near_duplicates_against_true_similarity(spark, rows, near_rows):
     assert found == {d for d in label if label[d] == d}
     whole, part = (next(d for d, t in table if t == x) for x in (text(9), text(9, 60)))
     assert {whole, part} <= found
+
+
+def shuffled(spark):
+    """Bytes that the session's executors have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_near_dedup_shuffles_only_texts_that_meet(spark):
+    """With no small table broadcast of itself, unlike texts aren't shuffled, and a row of a key costs little."""
+    unlike = [(k, " ".join(f"{x:016x}" for x in np.random.default_rng(k).integers(0, 2**62, 400).tolist())) for k in range(1500)]
+    rows = [*unlike, *((5000 + k, edited(t, 200)) for k, t in unlike[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffled(spark)
+    with shared.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        found = {r.doc_id: r.component_id for r in similar.similar_dedup(docs).collect()}
+    assert found == {d: d - 5000 if d >= 5000 else d for d, _ in rows}
+    # 42 keys of a text, most of random bits, are held at once as an array and counted alone
+    assert shuffled(spark) - before < 1500 * 42 * 32 < sum(len(t) for _, t in rows) / 4
+
+
+@pytest.mark.parametrize("slots", [1 << 24, 64, 1])
+def test_perhaps_in_loses_none(spark, slots):
+    df = spark.createDataFrame([(k, "x") for k in range(-1000, 1000)] + [(None, "y")], "node long, text string")
+    wanted = shared.write_out(df.filter("node % 50 = 0 or node < -995").select("node"), "wanted")
+    found = [r.node for r in shared.perhaps_in(df, "node", wanted, slots).collect()]
+    assert set(found) >= {r.node for r in wanted.collect()} and len(found) == len(set(found))
+    assert len(found) < 60 if slots > 64 else len(found) <= 2001
+    assert shared.perhaps_in(df, "node", shared.write_out(wanted.limit(0), "none"), slots).count() == 0

@@ -13,7 +13,8 @@ Two documents of similarity s share one with the probability 1 - (1 - s^6)^32, w
 common shingles meet by chance in a corpus of no practical size.
 
 Every candidate is confirmed by its similarity before it is a link. Buckets with the same members
-are looked at once. A bucket of up to ``block`` members is compared as one group, which gives at
+are looked at once. Keys are counted alone first, and only rows whose key came twice are shuffled with
+their members; texts are read again only for those. A bucket of up to ``block`` members is compared as one group, which gives at
 most one link for each member, enough for its components. The members of a larger one are first
 held against one of them. Mostly that joins nearly all into one component; those outside of it are
 then compared with all members, block by block. So a group of near copies costs rows in proportion
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, write_out
+from .shared import forget, perhaps_in, write_out
 from .simhash import fingerprint, fuzzy_keys
 from .substring import mix, rolling, word_hashes
 
@@ -179,13 +180,13 @@ def _linked_in_groups(rows: DataFrame, of_group) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(linked, _LINK)
 
 
-def links_of_small(small: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links within buckets that are one group each."""
+def links_of_small(sets: DataFrame, least: float) -> DataFrame:
+    """Links within buckets that are one group each, named by the ``groups`` of the sets."""
 
     def of_group(group: pa.Table) -> list[tuple[int, int]]:
         return group_links(group["node"].to_numpy(), _sets(group["held"]), least)
 
-    return _linked_in_groups(small.select(F.col("key").alias("group"), "node").join(sets, "node").select("group", "node", "held"), of_group)
+    return _linked_in_groups(sets.select(F.explode("groups").alias("group"), "node", "held"), of_group)
 
 
 def links_to_leaders(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -204,9 +205,9 @@ def links_to_leaders(large: DataFrame, sets: DataFrame, least: float) -> DataFra
                 near.append(shared / (len(x) + len(y) - shared) >= least)
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    pairs = large.filter(F.col("node") != F.col("lead")).select("node", "lead").distinct()
-    pairs = write_out(pairs.join(sets, "node").select(F.col("node").alias("a"), F.col("lead").alias("b"), "held"), "similar-pairs")
-    return pairs.join(sets.select(F.col("node").alias("b"), F.col("held").alias("lead_held")), "b").select("a", "b", "held", "lead_held").mapInArrow(confirmed, _LINK)
+    pairs = write_out(large.filter(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "similar-pairs")
+    first, second = (perhaps_in(sets.select(F.col("node").alias(e), F.col("held").alias(h)), e, pairs) for e, h in (("a", "held"), ("b", "lead_held")))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "held", "lead_held").mapInArrow(confirmed, _LINK)
 
 
 def links_of_odd(large: DataFrame, sets: DataFrame, roots: DataFrame, least: float, block: int) -> DataFrame:
@@ -231,38 +232,41 @@ def links_of_odd(large: DataFrame, sets: DataFrame, roots: DataFrame, least: flo
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, held: the shingles of the wanted classes (node, d0, d1), made again from one text of each, so that no table holds those of all texts."""
+    """node, held, groups: the shingles of the wanted classes (node, d0, d1, groups), made again from one text of each, so that no table holds those of all texts."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raws = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
             own = [xxhash.xxh3_128_digest(r) == np.array(d, dtype="<i8").tobytes() for r, d in zip(raws, zip(*(b.column(c).to_pylist() for c in _CLASS), strict=True), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(raws, pa.binary())], ["node", "held"]).filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(raws, pa.binary()), b.column("groups")], ["node", "held", "groups"]).filter(pa.array(own, pa.bool_()))
 
-    one = texts.withColumnRenamed("doc_id", "node").join(wanted, "node").dropDuplicates(["node", *_CLASS, "text"])
-    return one.mapInArrow(made, "node long, held binary")
+    one = perhaps_in(texts.withColumnRenamed("doc_id", "node"), "node", wanted).join(wanted, "node").dropDuplicates()
+    return one.mapInArrow(made, "node long, held binary, groups array<long>")
 
 
-def similar_components(texts: DataFrame, classes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def similar_components(texts: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """node, root of each class that is linked to another.
 
-    texts: (doc_id, text); classes: (node, d0, d1, keys), written out.
+    texts: (doc_id, text); classes: (node, d0, d1); keyed: (node, d0, keys) of the same, deleted here. Both were written out.
     """
-    keys = write_out(classes.select(F.explode("keys").alias("key"), "node", "d0"), "similar-keys")
+    keys = keyed.select(F.explode("keys").alias("key"), "node", "d0")
+    again = write_out(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "similar-again")
+    met = write_out(perhaps_in(keys, "key", again).join(again, "key"), "similar-met")
+    forget(keyed, again)
     # buckets with the same members have the same count and digests; one of them stays
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("d0").alias("x"), F.bit_xor(F.xxhash64("d0")).alias("y"), F.min_by("node", F.xxhash64("node")).alias("lead"))
-    sizes = sizes.filter("n > 1").groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "lead"), "key").alias("k"))
-    sizes = write_out(sizes.select("k.key", "n", "k.lead"), "similar-sizes")
-    shared = write_out(keys.join(sizes, "key").select("key", "n", "lead", "node"), "similar-shared")
-    forget(keys, sizes)
-    wanted = shared.select("node").distinct().join(classes.select("node", *_CLASS), "node")
+    sizes = met.groupBy("key", "n").agg(F.bit_xor("d0").alias("x"), F.bit_xor(F.xxhash64("d0")).alias("y"), F.min_by("node", F.xxhash64("node")).alias("lead"))
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "lead"), "key").alias("k"))
+    sizes = write_out(sizes.select("k.key", "k.lead"), "similar-sizes")
+    shared = write_out(met.join(sizes, "key").select("key", "n", "lead", "node"), "similar-shared")
+    forget(met, sizes)
+    groups = shared.groupBy("node").agg(F.collect_set(F.when(F.col("n") <= block, F.col("key"))).alias("groups"))
+    wanted = write_out(groups.join(classes, "node").select("node", *_CLASS, "groups"), "similar-wanted")
     sets = write_out(sets_of(texts, wanted, shingle), "similar-sets")
-    large = shared.filter(F.col("n") > block)
-    found = links_of_small(shared.filter(F.col("n") <= block), sets, similarity).unionByName(links_to_leaders(large, sets, similarity))
+    found = links_of_small(sets, similarity).unionByName(links_to_leaders(shared.filter(F.col("n") > block), sets, similarity))
     found = write_out(_ordered(found), "similar-links")
     roots = write_out(components(found), "similar-roots")
-    odd = write_out(_ordered(links_of_odd(large, sets, roots, similarity, block)), "similar-odd")
-    forget(shared, sets, found)
+    odd = write_out(_ordered(links_of_odd(shared.filter(F.col("n") > block), sets, roots, similarity, block)), "similar-odd")
+    forget(shared, wanted, sets, found)
     if odd.isEmpty():
         return roots
     # the links of the odd members join components, which stand for their members
@@ -297,11 +301,14 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = write_out(rows.mapInArrow(printed, "doc_id long, d0 long, d1 long, keys array<long>"), "similar-prints")
-    named = prints.filter("doc_id is not null")
-    classes = named.groupBy(*_CLASS).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    classes = write_out(classes.select("node", *_CLASS, "keys"), "similar-classes")
-    roots = similar_components(rows, classes, shingle, similarity, block)
+    keyed = prints.filter("doc_id is not null").groupBy(*_CLASS).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    keyed = write_out(keyed.select("node", *_CLASS, "keys"), "similar-keys")
+    # the keys are most of these tables, so they go as soon as they were matched
+    prints, wide = write_out(prints.select("doc_id", *_CLASS), "similar-ids"), prints
+    classes = write_out(keyed.select("node", *_CLASS), "similar-classes")
+    forget(wide)
+    roots = similar_components(rows, classes, keyed, shingle, similarity, block)
     placed = write_out(classes.join(roots, "node", "left").select(*_CLASS, F.coalesce("root", "node").alias("component_id")), "similar-placed")
     forget(classes)
     alone = prints.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"))
-    return named.join(placed, _CLASS).select("doc_id", "component_id").unionByName(alone)
+    return prints.filter("doc_id is not null").join(placed, _CLASS).select("doc_id", "component_id").unionByName(alone)
